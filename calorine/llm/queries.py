@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from calorine.llm import chat, decontaminate, licenses, mixing, pii, quality, tokens
+from calorine.llm import chat, decontaminate, licenses, mixing, pii, quality, setjoin, tokens
 
 QUERIES = {
     "op1_surrogates": pii.op1_surrogates,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_ngram_jaccard_join": setjoin.op5_ngram_jaccard_join,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_token_output": tokens.op8_token_output,
