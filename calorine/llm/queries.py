@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from calorine.llm import chat, decontaminate, embeddings, licenses, mixing, pii, quality, setjoin, tokens
+from calorine.llm import chat, decontaminate, embeddings, licenses, mixing, passages, pii, quality, setjoin, tokens
 
 QUERIES = {
     "op1_surrogates": pii.op1_surrogates,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_token_output": tokens.op8_token_output,
+    "op10_substring_dedup": passages.op10_substring_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
 }
 ORACLES = {
