@@ -63,7 +63,7 @@ EVENTS = {
     "event_end": "cast(o_orderdate as timestamp)",
     "detection_count": "o_orderkey % 23 + 1",
     "distinct_detection_days": "o_orderkey % 4 + 1",
-    "observed_duration_hours": "(o_orderkey % 60) * 4.5",
+    "observed_duration_hours": "(o_orderkey % 60) * 4.51373",
     "max_gap_hours": "(o_orderkey % 9) * 6.5",
     "day_detection_count": "o_orderkey % 3",
     "night_detection_count": "o_orderkey % 2",
