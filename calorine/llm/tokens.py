@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from calorine.functions.session import saved, scratch_root
+from calorine.llm.words import _BASE, CHUNK, _power_table, mix, texts_of
 
 #: Ids in one block of the files, about.
 BLOCK_IDS = 1 << 20
-CACHE_WORDS = 300_000
 END_ID = 2
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 
@@ -30,7 +30,10 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(r)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = r.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < size[:, None]]
+    wide = int(size.max(initial=1))
+    wide += wide == 3
+    kind = {1: "<u1", 2: "<u2", 4: "<u4"}[wide]
+    data = r.astype(kind).view(np.uint8).reshape(-1, wide)[np.arange(wide, dtype=np.uint8) < size[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -49,17 +52,75 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- tokenizing
+#: Classes of bytes for splitting: white space 0, letters 1, digits 2, other 3; 9 leaves a text to the library.
+_SPLIT = np.full(256, 9, np.uint8)
+_SPLIT[0x21:0x7F] = 3
+_SPLIT[[0x20, 0x09, 0x0A, 0x0D]] = 0
+_SPLIT[0x30:0x3A] = 2
+_SPLIT[0x41:0x5B] = _SPLIT[0x61:0x7B] = 1
+_SPLIT[0x80:0xC0] = _SPLIT[[0xC3, 0xC4, 0xC5]] = 1  # with what may follow them, Latin letters; see _odd
+_SPLIT[0x27] = 9
+CACHE_BITS = 20
+
+
+def _odd(raw: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Bytes that the fast split does not know: other lead bytes, apostrophes, control bytes, the two signs among Latin letters."""
+    odd = c == 9
+    after = np.zeros(len(raw), bool)
+    after[1:] = raw[:-1] == 0xC3
+    return odd | (after & ((raw == 0x97) | (raw == 0xB7)))
+
+
+def pretoken_starts(raw: np.ndarray, c: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pre-tokens of the byte-level pattern start, for texts of known classes and without contractions.
+
+    A run of one class is a pre-token and takes one space before it along. Of white
+    space before it, the last character stands alone unless it is that space; what
+    comes before that, and white space that ends a text, is one pre-token.
+    """
+    n = len(raw)
+    mark = np.zeros(n + 1, bool)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    turn = np.ones(n, bool)
+    turn[1:] = c[1:] != c[:-1]
+    turn |= edge[:n]
+    at = np.flatnonzero(turn)
+    ends = np.append(at[1:], n)
+    blank = c[at] == 0
+    words = at[~blank]
+    glued = np.zeros(len(words), bool)
+    inner = words > 0
+    glued[inner] = (raw[words[inner] - 1] == 0x20) & ~edge[words[inner]]
+    mark[words[~glued]] = True
+    mark[words[glued] - 1] = True
+    a, b = at[blank], ends[blank]
+    closing = edge[b]
+    mark[a[closing | (b - a > 1)]] = True
+    mark[b[~closing] - 1] = True
+    return np.flatnonzero(mark[:n])
+
+
 class Encoder:
     """Ids of the tokenizers library, with a cache by pre-token where pre-tokens are known to be independent.
 
-    A byte-level BPE without a normalizer encodes each pre-token alone, so a text
-    whose characters are treated alike by both regex libraries is split here and
-    only unseen pre-tokens go through the library. Any other text or tokenizer is
-    passed to the library whole.
+    A byte-level BPE without a normalizer encodes each pre-token alone. Texts of
+    ASCII and Latin letters without apostrophes are split here, many at once, and
+    only pre-tokens that the cache does not hold go through the library; the cache
+    has a fixed size and is keyed by 64-bit hashes. Any other text, texts that hold
+    special tokens, and other kinds of tokenizers are passed to the library whole.
     """
 
+    _made: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's encoder, kept from task to task."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -67,38 +128,106 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         model = spec.get("model") or {}
-        self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.split = None
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"):
-            #: Fixed value: the public pre-token pattern of byte-level BPE.
-            self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-            self.unsafe = regex.compile("[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u024f\\u0391-\\u03a9\\u03b1-\\u03c9\\u0410-\\u044f\\u2013-\\u2026]")
+        self.special = [x["content"].encode() for x in spec.get("added_tokens") or []]
+        self.fast = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        if self.split is None:
-            return self.whole(texts)
-        odd = [i for i, t in enumerate(texts) if self.unsafe.search(t) or any(s in t for s in self.special)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros((2, 1 << CACHE_BITS), np.uint64)
+        self.at = np.zeros((2, 1 << CACHE_BITS), np.int32)
+        self.size = np.zeros((2, 1 << CACHE_BITS), np.int32)
+        self.pool = np.zeros(1 << 22, self.kind)
+        self.used = 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - CACHE_BITS)).astype(np.int64), (h & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, size, known) of hashes in the cache."""
+        one, two = self._slots(h)
+        first, second = self.keys[0][one] == h, self.keys[1][two] == h
+        return np.where(first, self.at[0][one], self.at[1][two]), np.where(first, self.size[0][one], self.size[1][two]), first | second
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        ids = self.whole(words)
+        flat = np.concatenate(ids)
+        if self.used + len(flat) > len(self.pool):
+            if len(self.pool) < 1 << 25:
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), self.kind)])
+            else:  # full: start anew, with room for these
+                self.forget()
+                if len(flat) > len(self.pool):
+                    self.pool = np.zeros(2 * len(flat), self.kind)
+        size = np.array([len(x) for x in ids], np.int32)
+        place = (self.used + np.cumsum(size) - size).astype(np.int32)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        one, two = self._slots(h)
+        free = self.keys[0][one] == 0
+        for k, slot, which in ((0, one, free), (1, two, ~free)):
+            self.keys[k][slot[which]], self.at[k][slot[which]], self.size[k][slot[which]] = h[which], place[which], size[which]
+        self.fresh = dict(zip(h.tolist(), zip(place.tolist(), size.tolist(), strict=True), strict=True))
+
+    def chunk(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a chunk of bytes."""
+        n = len(offsets) - 1
+        if not self.fast:
+            return self.whole([raw[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(n)])
+        c = _SPLIT[raw]
+        odd = np.zeros(n, bool)
+        odd[np.searchsorted(offsets, np.flatnonzero(_odd(raw, c)), "right") - 1] = True
+        text = raw.tobytes()
+        for s in self.special:
+            at = text.find(s)
+            while at >= 0:
+                odd[int(np.searchsorted(offsets, at, "right")) - 1] = True
+                at = text.find(s, at + 1)
+        starts = pretoken_starts(raw, c, offsets)
+        ends = np.append(starts[1:], len(raw))
+        of = np.searchsorted(starts, offsets)
+        if odd.any():
+            keep = ~np.repeat(odd, np.diff(of))
+            kept = np.concatenate([[0], np.cumsum(keep)])
+            starts, ends, of = starts[keep], ends[keep], kept[of]
+        up, down = _power_table(_BASE, len(raw))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+        h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)) | np.uint64(1)
+        place, size, known = self._find(h)
+        if not known.all():
+            miss = np.flatnonzero(~known)
+            new, first = np.unique(h[miss], return_index=True)
+            first = miss[first]
+            if self.used + 16 * len(new) > 1 << 25:
+                self.forget()  # nothing that this chunk has found may move
+                new, first = np.unique(h, return_index=True)
+                miss = np.arange(len(h))
+            self._learn(new, [text[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            spot = np.array([self.fresh[k] for k in new.tolist()], np.int64).reshape(-1, 2)
+            which = np.searchsorted(new, h[miss])
+            place, size = place.astype(np.int64), size.astype(np.int64)
+            place[miss], size[miss] = spot[which, 0], spot[which, 1]
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        flat = self.pool[np.repeat(place - upto[:-1], size) + np.arange(upto[-1])] if len(h) else np.zeros(0, self.kind)
+        cut = upto[of]
+        out = [flat[cut[i] : cut[i + 1]] for i in range(n)]
+        which = np.flatnonzero(odd).tolist()
+        for i, ids in zip(which, self.whole([text[offsets[i] : offsets[i + 1]].decode() for i in which]), strict=True):
             out[i] = ids
-        find = self.split.findall
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                words = find(t)
-                new = list(set(words).difference(self.cache))
-                if new:
-                    if len(self.cache) > CACHE_WORDS:
-                        self.cache.clear()
-                        new = list(set(words))
-                    self.cache.update(zip(new, self.whole(new), strict=True))
-                out[i] = b"".join(map(self.cache.__getitem__, words))
         return out
 
+    def __call__(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
+        """Ids of the texts of a column, chunk by chunk."""
+        data, offsets = texts_of(column)
+        a, n = 0, len(offsets) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (CHUNK >> 1), "right")) - 1)
+            yield self.chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            a = b
+
 
 # ---------------------------------------------------------------- writing
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> str:
@@ -115,20 +244,19 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
-        tail = np.array([end_id], encode.kind).tobytes()
+        encode = Encoder.of(tokenizer_path)
+        tail = np.array([end_id], encode.kind)
         counts = np.zeros(max(encode.library.get_vocab_size(), end_id + 1), np.int64)
         names = ["doc_id", "n", "ids", "id", "count"]
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                blobs = [x + tail for x in encode([t or "" for t in part.column(1).to_pylist()])]
-                flat = np.frombuffer(b"".join(blobs), encode.kind)
-                counts += np.bincount(flat, minlength=len(counts))
-                n = [len(x) // encode.kind.itemsize for x in blobs]
-                packed = [pa.compress(x, "zstd", asbytes=True) for x in blobs]
-                none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), none, none], names=names)
+            a = 0
+            for found in encode(batch.column(1)):
+                runs = [np.append(x, tail) for x in found]
+                counts += np.bincount(np.concatenate(runs), minlength=len(counts))
+                packed = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in runs]
+                none = pa.nulls(len(runs), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + len(runs)], pa.array([len(x) for x in runs], pa.int64()), pa.array(packed, pa.binary()), none, none], names=names)
+                a += len(runs)
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(seen), pa.binary()), pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=names)
