@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from calorine.llm.words import ALNUM, Words, chunks
+from calorine.llm.words import ALNUM, Words, bounded, chunks
 
 #: Windows of the benchmark that one scan holds in memory (about 300 bytes each).
 WINDOWS_PER_SCAN = 1_000_000
@@ -84,7 +84,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, per_scan: int
     give empty or all-clean results. Other columns are ignored.
     """
     sets = _window_sets(benchmark, width, per_scan)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if len(sets) == 1:
         held = docs.sparkSession.sparkContext.broadcast(sets[0])
 
@@ -129,7 +129,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width
     if mode == "documents" and len(sets) > 1:
         bad = report(docs, benchmark, width, per_scan).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
         return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad_id")), "left_anti")
-    where = docs.columns.index("text")
+    where = bounded(docs).columns.index("text")
     for one in sets:
         held = docs.sparkSession.sparkContext.broadcast(one)
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from calorine.functions.session import saved
+from calorine.llm.words import bounded
 
 KEY = b"calorine-surrogates-1"
 #: Entities whose attempt number is sent to all tasks; more are joined by document.
@@ -216,7 +217,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     are looked up, from a broadcast table below a checked size and else by doc_id.
     """
     docs = docs.withColumnsRenamed({c: f"docs_{c}" for c in ("n_entities", "kinds", "pii_bumps") if c in docs.columns})
-    seen = saved(_per_doc(docs), "pii-entities")
+    seen = saved(_per_doc(bounded(docs)), "pii-entities")
     held = assign(seen.select("kind", "entity", "gender").distinct(), key)
     bumped = held.where("attempt > 0").select("kind", "entity", "gender", "attempt")
     first = bumped.limit(BROADCAST_BUMPS + 1).collect()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from calorine.functions.session import saved
-from calorine.llm.words import CHUNK, NON_SPACE, Words, texts_of
+from calorine.llm.words import CHUNK, NON_SPACE, Words, bounded, texts_of
 
 #: Labelled rows that the document classifier is fitted on, at most (those of least hash).
 TRAIN_ROWS = 20_000
@@ -80,9 +80,10 @@ def evidence(x: np.ndarray, model) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     """The document classifier, from at most `rows` labelled documents: those whose doc_id has the least hash."""
+    bounded(docs)
     known = labels.where("quality is not null").select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("label")).dropDuplicates(["label_id"])
-    bounded = known.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(bounded), F.col("doc_id") == F.col("label_id"))  # at most `rows` rows
+    least = known.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(least), F.col("doc_id") == F.col("label_id"))  # at most `rows` rows
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from calorine.functions.session import saved
-from calorine.llm.words import NON_SPACE, chunks, mix, rolling
+from calorine.llm.words import NON_SPACE, bounded, chunks, mix, rolling
 from calorine.operators.graph import connected_components
 
 WIDTH, NUM, DEN = 4, 85, 100
@@ -310,7 +310,7 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     keeping its own n_shingles; rows without a doc_id get no component and take no
     part. An empty table gives an empty result. Other columns are ignored.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(_first_scan(slim, width), "join-scan")
     sketch = _sketch(rows)
     sized = rows.where("slice is null").select("doc_id", "n", "f", "g", "bands")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from calorine.functions.session import saved, scratch_root
-from calorine.llm.words import _BASE, CHUNK, _power_table, mix, texts_of
+from calorine.llm.words import _BASE, CHUNK, bounded, _power_table, mix, texts_of
 
 #: Ids in one block of the files, about.
 BLOCK_IDS = 1 << 20
@@ -241,7 +241,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids:
     (id by rank) and `blocks` (part, block, doc_ids, n_tokens, control, data).
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(tokenizer_path)

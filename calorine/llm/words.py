@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK = 2 << 20
+#: Rows in an Arrow batch of texts, at most: batches of 10,000 long texts take too much of an executor's memory.
+BATCH_ROWS = 2_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORDBASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -22,6 +25,15 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session that hands at most BATCH_ROWS rows at once to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
