@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 THRESHOLD = 0.8
+#: Characters at a text's start whose bigrams bound those of the whole from below.
+START = 4_000
 #: Licence notices by public identifier.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
@@ -55,12 +58,28 @@ def anchors(text: str, threshold: float) -> list[str]:
     return chosen
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normal_words(text: Column) -> Column:
     """Runs of ASCII letters and digits, after lower-casing A-Z."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.filter(F.split(low, "[^0-9a-z]+"), lambda w: w != "")
 
 
+def bigrams(text: Column) -> Column:
+    """Distinct pairs of neighbouring words."""
+
+    def pairs(w: Column) -> Column:
+        n = F.size(w) - 1
+        both = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(n > 0, F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
+
+    return let(normal_words(text), pairs)
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each line of a text, and for the whole of a text of several lines, that matches a template.
 
@@ -82,24 +101,28 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
             out = out | F.contains(text, F.lit(w))
         return out
 
-    slim = docs.select("doc_id", "text").where(hint(F.lower("text")))
-    lines = F.split("text", "\n")
-    units = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    units = F.concat(F.filter(units, lambda u: hint(F.lower(u["line"]))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line_no"), F.col("text").alias("line")))).otherwise(F.array().cast("array<struct<line_no:int,line:string>>")))
-    # A set of `high` bigrams may come from a longer text only if bigrams repeat; such texts keep their place.
-    rows = slim.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.line_no", normal_words(F.col("u.line")).alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit(""))))
-    grams = F.when(F.size("w") > 1, F.array_distinct(F.slice(pairs, 1, F.size("w") - 1))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("grams", grams).where(F.size("grams").between(low, high))
-    size = F.size("grams")
-    scores = []
-    for name, _, g in table:
-        a, b = size_bounds(len(g), threshold)
-        overlap = F.size(F.array_intersect("grams", F.array(*[F.lit(x) for x in g])))
-        scores.append(F.when(size.between(a, b), F.struct((2 * overlap / (size + len(g))).alias("dice"), F.lit(name).alias("license"))))
-    found = rows.withColumn("best", F.filter(F.array(*scores), lambda s: s["dice"] >= threshold))
-    best = F.array_min(F.transform("best", lambda s: F.struct((-s["dice"]).alias("d"), s["license"].alias("license"))))
-    return found.where(F.size("best") > 0).select("doc_id", F.col("line_no").cast("int").alias("line_no"), best["license"].alias("license"), (-best["d"]).alias("dice"))
+    def best(size: Column, grams: Column) -> Column:
+        """(-dice, license) of the best template, or null."""
+        scores = []
+        for name, _, g in table:
+            a, b = size_bounds(len(g), threshold)
+            dice = 2 * F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in g]))) / (size + len(g))
+            scores.append(F.when(size.between(a, b), F.struct((-dice).alias("d"), F.lit(name).alias("license"))))
+        return F.array_min(F.filter(F.array(*scores), lambda s: s["d"] <= -threshold))
+
+    def judged(text: Column) -> Column:
+        return let(bigrams(text), lambda g: let(F.size(g), lambda n: F.when(n.between(low, high), best(n, g))))
+
+    held = lambda text: F.exists(F.array(F.lower(text)), hint)  # noqa: E731  (lower-cases once, not once for each word)
+    slim = docs.select("doc_id", "text").where(held(F.col("text")))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), F.when(held(x), judged(x)).alias("best")))
+    # A start of the text holds no more bigrams than the whole: where it already has too many, the whole is out.
+    start = F.regexp_replace(F.substring("text", 1, START), "[0-9A-Za-z]+$", "")
+    whole = F.when(F.contains("text", F.lit("\n")) & ((F.length("text") <= START) | (F.size(bigrams(start)) <= high)), judged(F.col("text")))
+    found = F.filter(F.concat(F.array(F.struct(F.lit(0).alias("line_no"), whole.alias("best"))), lines), lambda r: r["best"].isNotNull())
+    # explode_outer, for explode would have the array computed a second time by a filter on its size.
+    rows = slim.select("doc_id", F.explode_outer(found).alias("r"))
+    return rows.where("r.line_no is not null").select("doc_id", "r.line_no", "r.best.license", (-F.col("r.best.d")).alias("dice"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
