@@ -50,7 +50,7 @@ def anchors(text: str, threshold: float) -> list[str]:
     grams = _bigrams(text)
     spare = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
     chosen: list[str] = []
-    common = {"the", "this", "under", "version", "work", "any", "this", "and", "with", "for", "use", "that", "are"}
+    common = {"the", "this", "under", "version", "work", "any", "by", "and", "with", "for", "use", "that", "are"}
     for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in common, -len(w), w)):
         if sum(any(c in g.split() for c in chosen) for g in grams) > spare:
             break
