@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import FloatType
 
 from calorine.functions.session import saved
 from calorine.llm.words import mix
@@ -17,6 +19,8 @@ THRESHOLD = 0.95
 SEED = 20_011
 #: Vectors of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
 CHUNK_ROWS = 2048
+#: Linked pairs of a block whose buckets are compared at once.
+PAIRS = 1 << 18
 
 
 def shape(n: int, dim: int) -> tuple[int, int]:
@@ -38,70 +42,81 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def bucket_keys(x: np.ndarray, joined: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """Bucket keys (int64) of unit rows, one row each: for every table the own bucket, then for each hash the runner-up.
+def vertices(x: np.ndarray, joined: int, tables: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of unit rows by row, table and place in the key: the nearest vertex of the cross-polytope and the next.
 
-    A hash is the nearest vertex of the cross-polytope: the coordinate of largest
-    magnitude and its sign. A probe replaces one hash of the key by its second best vertex.
+    A vertex is a coordinate, by magnitude, with its sign.
     """
     d = 1 << max(1, math.ceil(math.log2(max(x.shape[1], 2))))
     padded = np.zeros((len(x), d))
     padded[:, : x.shape[1]] = x
     rng = np.random.default_rng(seed + x.shape[1])
-    keys = []
+    out = np.zeros((len(x), tables, joined, 2), np.uint16)
+    rows = np.arange(len(x))[:, None]
     for t in range(tables):
-        best, second = [], []
-        for _ in range(joined):
+        for k in range(joined):
             y = rotate(padded, rng.choice([-1.0, 1.0], (3, d)))
             top = np.argpartition(np.abs(y), -2, axis=1)[:, -2:]
-            rows = np.arange(len(x))[:, None]
             top = np.take_along_axis(top, np.argsort(-np.abs(y[rows, top]), axis=1, kind="stable"), 1)
-            vertex = 2 * top + (y[rows, top] < 0)
-            best.append(vertex[:, 0])
-            second.append(vertex[:, 1])
-        for probe in range(joined + 1):
-            key = np.full(len(x), np.uint64(t * 1_000_003 + x.shape[1]))
-            for k in range(joined):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (second if probe == k + 1 else best)[k].astype(np.uint64))
-            keys.append(key.view(np.int64))
-    return np.stack(keys, 1) if keys else np.zeros((len(x), 0), np.int64)
+            out[:, t, k] = 2 * top + (y[rows, top] < 0)
+    return out
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(v, np.float64) for v in column.to_pylist()]
+def bucket_keys(found: np.ndarray, dim: int) -> np.ndarray:
+    """Bucket keys (int64) by row, table and probe: the own bucket, then for each hash the runner-up in its place."""
+    n, tables, joined, _ = found.shape
+    keys = np.empty((n, tables, joined + 1), np.uint64)
+    for probe in range(joined + 1):
+        key = np.broadcast_to(np.arange(tables, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(dim), (n, tables))
+        for k in range(joined):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + found[:, :, k, int(probe == k + 1)].astype(np.uint64))
+        keys[:, :, probe] = key
+    return keys.view(np.int64)
 
 
-def _hashed(vectors: DataFrame, joined: int, tables: int) -> DataFrame:
-    """A row for each vector and bucket: bucket, id, weight, vector, and all its bucket keys (sorted)."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)  # keeps the norm of any finite vector finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _hashed(vectors: DataFrame, joined: int, tables: int, kind: str) -> DataFrame:
+    """A row for each vector: id, weight, its numbers and its vertices as bytes, and its bucket keys."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                vs = _lists(part.column(2))
-                dims = np.array([len(v) for v in vs])
-                for d in np.unique(dims):
-                    at = np.flatnonzero(dims == d)
-                    x = np.stack([vs[i] for i in at])
-                    x = x / np.abs(x).max(1, keepdims=True)  # keeps the norm of any finite vector finite
-                    keys = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), joined, tables)
-                    own = [np.unique(k) for k in keys]
-                    size = np.array([len(k) for k in own])
-                    rows = pa.array(np.repeat(at, size))
-                    all_keys = pa.array([k.tobytes() for k in own], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), part.column(0).take(rows), part.column(1).take(rows), part.column(2).take(rows), all_keys.take(pa.array(np.repeat(np.arange(len(at)), size)))], names=["bucket", "id", "weight", "vector", "keys"])
-
-    return vectors.select("id", "weight", "vector").mapInArrow(scan, "bucket long, id long, weight long, vector array<float>, keys binary")
-
-
-def _block(ids, weights, vectors, keys, chunk, lo, hi, bucket, threshold):
+            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                dims = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+                for d in np.unique(dims).tolist():
+                    own = part.filter(pa.array(dims == d))
+                    x = own.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
+                    found = vertices(_unit(x), joined, tables)
+                    keys = bucket_keys(found, d).reshape(len(x), -1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in found], pa.binary()), lists], names=["id", "weight", "vector", "vertices", "keys"])
+
+    return vectors.select("id", "weight", "vector").mapInArrow(scan, "id long, weight long, vector binary, vertices binary, keys array<long>")
+
+
+def _first_met(keys: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether rows i and j share no bucket below this one; a key names its table, so tables are compared one by one."""
+    fresh = np.ones(len(i), bool)
+    low = keys < bucket
+    for t in range(keys.shape[1]):
+        for p in range(keys.shape[2]):
+            a = np.where(low[i, t, p], keys[i, t, p], bucket)
+            for q in range(keys.shape[2]):
+                fresh &= (a != keys[j, t, q]) | (a == bucket)
+    return fresh
+
+
+def _block(ids, weights, x, found, chunk, lo, hi, bucket, threshold, shape_of):
     """Links inside one block: (id, weight of its partners, least id of its block component) of linked rows.
 
     A pair counts in the least bucket that both share, so it is counted once over all
     tables; components need no such care.
     """
-    x = np.stack(vectors)
-    x = x / np.abs(x).max(1, keepdims=True)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(x)
     linked = x @ x.T >= threshold
     np.fill_diagonal(linked, False)
     if lo != hi:
@@ -110,61 +125,77 @@ def _block(ids, weights, vectors, keys, chunk, lo, hi, bucket, threshold):
     if not len(rows):
         return None
     linked = linked[np.ix_(rows, rows)]
-    lower: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        for k in keys[r]:
-            if k >= bucket:
-                break
-            lower.setdefault(int(k), []).append(i)
-    shared = [v for v in lower.values() if len(v) > 1]
-    counted = linked
-    if shared:
-        m = np.zeros((len(rows), len(shared)), np.float32)
-        for j, v in enumerate(shared):
-            m[v, j] = 1
-        counted = linked & ~(m @ m.T > 0)
-    label = ids[rows].copy()
+    ids, weights = ids[rows], weights[rows]
+    keys = bucket_keys(found[rows].reshape(len(rows), *shape_of, 2), x.shape[1])
+    one, two = np.nonzero(np.triu(linked))
+    links = np.zeros(len(rows), np.int64)
+    for s in range(0, len(one), PAIRS):
+        i, j = one[s : s + PAIRS], two[s : s + PAIRS]
+        fresh = _first_met(keys, i, j, bucket)
+        np.add.at(links, i[fresh], weights[j[fresh]])
+        np.add.at(links, j[fresh], weights[i[fresh]])
+    label = ids.copy()
     while True:
         low = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
         if (low == label).all():
             break
         label = low
-    return ids[rows], counted @ weights[rows], label
+    return ids, links, label
 
 
 def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, links, low): per block, what is linked; ids are classes of equal vectors with their weight (rows)."""
+    """(id, links, low): per block, what is linked; ids are classes of equal vectors with their weight (rows).
+
+    A vector goes along to each of its buckets in one shuffle, as plain bytes; the
+    rows that say which buckets are larger than a block number one in CHUNK_ROWS
+    entries at most, and Spark broadcasts them only if their file is small enough.
+    """
     n = vectors.count()
     dim = vectors.agg(F.max(F.size("vector"))).first()[0] or 2
     joined, tables = shape(n, dim)
-    rows = saved(_hashed(vectors, joined, tables), "vector-buckets", "none")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / CHUNK_ROWS).cast("int").alias("parts"))
-    placed = rows.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    kind = "<f4" if isinstance(vectors.schema["vector"].dataType.elementType, FloatType) else "<f8"
+    rows = saved(_hashed(vectors, joined, tables, kind), "vector-hashes", "none")
+    sizes = rows.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    large = saved(sizes.where(F.col("size") > CHUNK_ROWS).select("bucket", F.ceil(F.col("size") / CHUNK_ROWS).cast("int").alias("parts")), "vector-large")
+    placed = rows.select("id", "weight", "vector", "vertices", F.explode("keys").alias("bucket")).join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     placed = placed.withColumn("other", other).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "parts")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                bucket, lo, hi = held[0][0], held[0][1], held[0][2]
-                found = _block(np.array([r[4] for r in held]), np.array([r[5] for r in held]), [r[6] for r in held], [np.frombuffer(r[7], np.int64) for r in held], np.array([r[3] for r in held]), lo, hi, bucket, threshold)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["id", "links", "low"])
+    def numbers(column: pa.Array, dtype: str, s: int, e: int) -> np.ndarray:
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int32)[column.offset + s : column.offset + e + 1]
+        return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(dtype).reshape(e - s, -1)
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(table: pa.Table, upto: int, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            part = table.slice(0, upto).combine_chunks()
+            if not upto:
+                return
+            bucket, lo, hi, chunk, ids, weights = (part.column(k).to_numpy() for k in range(6))
+            vector, vertex = (part.column(k).chunk(0) for k in (6, 7))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), upto], strict=True):
+                if e - s > 1:
+                    found = _block(ids[s:e], weights[s:e], numbers(vector, kind, s, e), numbers(vertex, "<u2", s, e), chunk[s:e], lo[s], hi[s], bucket[s], threshold, (tables, joined))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["id", "links", "low"])
+
+        held = None
         for batch in batches:
-            part = batch.to_pydict()
-            vs = [np.asarray(v, np.float64) for v in part["vector"]]
-            for r in zip(part["bucket"], part["lo"], part["hi"], part["chunk"], part["id"], part["weight"], vs, part["keys"], strict=True):
-                if held and held[-1][:3] != r[:3]:
-                    yield from done()
-                    held = []
-                held.append(r)
-        yield from done()
+            new = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, new]) if held else new
+            if not held.num_rows:
+                continue
+            place = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            starts = np.flatnonzero(np.concatenate([[True], (place[:, 1:] != place[:, :-1]).any(0)]))
+            cut = int(starts[-1])  # the last block may go on
+            yield from whole(held, cut, starts[:-1])
+            held = held.slice(cut)
+        if held and held.num_rows:
+            yield from whole(held, held.num_rows, np.zeros(1, np.int64))
 
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.select("bucket", "lo", "hi", "chunk", "id", "weight", "vector", "keys").repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    dealt = placed.select("bucket", "lo", "hi", "chunk", "id", "weight", "vector", "vertices").repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     return saved(dealt.mapInArrow(blocks, "id long, links long, low long"), "vector-links")
 
 
@@ -178,7 +209,8 @@ def dedup(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     and share a component; rows without a vec_id take no part (component null). An
     empty table gives an empty result. Other columns are ignored.
     """
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    single = isinstance(getattr(table.schema["embedding"].dataType, "elementType", None), FloatType)
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("vector"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda v: v != 0), F.lit(False))
     good = rows.where(usable)
