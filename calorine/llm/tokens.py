@@ -238,7 +238,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids:
     One scan tokenizes and counts ids (stored compactly in the shared folder); ids
     are then ranked by frequency over all documents, the documents are dealt by
     range of doc_id, and each task writes its blocks. The folder holds `ranks`
-    (id by rank) and `blocks` (part, block, doc_ids, n_tokens, control, data).
+    (id by rank) and `blocks` (part, block, doc_ids, known, n_tokens, n_before, n_block, control,
+    data), where n_before counts the ids of earlier blocks of the part.
     """
     spark = docs.sparkSession
     slim = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -274,14 +275,14 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block, ids, ns, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, block, before, ids, ns, parts, held = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
         kind = np.dtype(f"<u{wide}")
 
         def out() -> pa.RecordBatch:
             control, data = encode_ranks(np.concatenate(parts))
             id_array = np.array([-1 if x is None else x for x in ids], "<i8")
             known = np.packbits([x is not None for x in ids]).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([id_array.tobytes()]), pa.array([known]), pa.array([np.array(ns, "<i8").tobytes()]), pa.array([held], pa.int64()), pa.array([control]), pa.array([data])], names=["part", "block", "doc_ids", "known", "n_tokens", "n_block", "control", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([id_array.tobytes()]), pa.array([known]), pa.array([np.array(ns, "<i8").tobytes()]), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([control]), pa.array([data])], names=["part", "block", "doc_ids", "known", "n_tokens", "n_before", "n_block", "control", "data"])
 
         for batch in batches:
             for doc, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -292,7 +293,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids:
                 held += n
                 if held >= block_ids:
                     yield out()
-                    block, ids, ns, parts, held = block + 1, [], [], [], 0
+                    block, before, ids, ns, parts, held = block + 1, before + held, [], [], [], 0
         if ids:
             yield out()
 
@@ -301,7 +302,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids:
     codec_width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
     codec_kind = np.dtype(f"<u{codec_width}")
     dealt = rows.where("id is null").select("doc_id", "n", "ids").repartitionByRange(spark_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    dealt.mapInArrow(blocks, "part int, block int, doc_ids binary, known binary, n_tokens binary, n_block long, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    dealt.mapInArrow(blocks, "part int, block int, doc_ids binary, known binary, n_tokens binary, n_before long, n_block long, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/blocks")
     return folder
 
 
@@ -314,21 +315,18 @@ def read(spark: SparkSession, folder: str, texts_of_ids=None) -> DataFrame:
     """One row per document of the token files: doc_id, start, n_tokens, ids_crc32.
 
     `start` counts the ids of all documents before it: the sums of earlier parts
-    (one number a part) and of earlier blocks and documents of its own part.
+    (one number a part), of earlier blocks of its own part (in the block) and of
+    earlier documents of its block. Blocks are decoded where they are read.
     With `texts_of_ids`, a function of an id array, a column `text` is added.
     """
     table = np.array([r[0] for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").select("id").collect()] or [0], np.uint32)
     files = spark.read.parquet(f"{folder}/blocks")
-    from pyspark.sql import Window
-
     sizes = files.groupBy("part").agg(F.sum("n_block").alias("n")).orderBy("part").collect()
     before, total = {}, 0
     for r in sizes:
         before[r[0]] = total
         total += r[1]
-    earlier = F.sum("n_block").over(Window.partitionBy("part").orderBy("block")) - F.col("n_block")
-    starts = files.select("part", "block", earlier.alias("at"))
-    placed = files.join(starts, ["part", "block"])
+    placed = files.select("part", "doc_ids", "known", "n_tokens", "n_before", "n_block", "control", "data")
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["text"] * bool(texts_of_ids)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +339,7 @@ def read(spark: SparkSession, folder: str, texts_of_ids=None) -> DataFrame:
                 known = np.unpackbits(np.frombuffer(r["known"], np.uint8))[: len(docs)].astype(bool)
                 runs = [ids[e - n : e] for e, n in zip(ends.tolist(), ns.tolist(), strict=True)]
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in runs]
-                columns = [pa.array(docs, pa.int64(), mask=~known), pa.array(before[r["part"]] + r["at"] + ends - ns, pa.int64()), pa.array(ns, pa.int64()), pa.array(crc, pa.int64())]
+                columns = [pa.array(docs, pa.int64(), mask=~known), pa.array(before[r["part"]] + r["n_before"] + ends - ns, pa.int64()), pa.array(ns, pa.int64()), pa.array(crc, pa.int64())]
                 if texts_of_ids:
                     columns.append(pa.array([texts_of_ids(x) for x in runs], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
