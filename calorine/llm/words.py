@@ -9,7 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CHUNK = 2 << 20
+#: Bytes of text worked on at once; several temporary arrays hold 8 bytes for each of them, in each Python worker.
+CHUNK = 1 << 19
 #: Rows in an Arrow batch of texts, at most: batches of 10,000 long texts take too much of an executor's memory.
 BATCH_ROWS = 2_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
