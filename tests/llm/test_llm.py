@@ -213,3 +213,24 @@ def test_passages(spark):
 def test_chain_skips_crossing_segments():
     assert passages.chain([(0, 0, 20), (25, 26, 20), (50, 5, 10)])[0] == [(0, 0, 20), (25, 26, 20)]
     assert passages.common(np.arange(10), np.delete(np.arange(10), 3)) == 9
+
+
+def test_chain_behind_a_long_segment():
+    assert passages.chain([(0, 0, 500), (600, 600, 30), (630, 631, 30)]) == [[(0, 0, 500)], [(600, 600, 30), (630, 631, 30)]]
+    r = random.Random(4)
+    for _ in range(200):  # against all predecessors
+        segments = sorted({(r.randint(0, 80), r.randint(0, 80), r.randint(1, 30)) for _ in range(12)})
+        score = []
+        for i, (p, r_, n) in enumerate(segments):
+            gaps = [(score[j] - 0.1 * (p - q - m + r_ - t - m)) for j, (q, t, m) in enumerate(segments[:i]) if 0 <= p - q - m <= 30 and 0 <= r_ - t - m <= 30]
+            score.append(n + max([0.0, *gaps]))
+        best = passages.chain(segments)[0]
+        got = sum(n for _, _, n in best) - 0.1 * sum(p - q - m + s - t - m for (q, t, m), (p, s, _) in zip(best, best[1:]))
+        assert abs(got - max(score)) < 1e-9
+
+
+def test_short_fuzzy_passage_behind_a_long_shared_block(spark):
+    block, a, b = prose(500, 70), prose(30, 71), prose(30, 72)
+    texts = [f"{block} {prose(100, 73)} {a} {b}", f"{block} {prose(100, 74)} {a} inserted {b}"]
+    got = passages.find(docs(spark, texts)).where("start_word >= 580").collect()
+    assert got and max(r["n_words"] for r in got) >= 60
