@@ -234,3 +234,29 @@ def test_short_fuzzy_passage_behind_a_long_shared_block(spark):
     texts = [f"{block} {prose(100, 73)} {a} {b}", f"{block} {prose(100, 74)} {a} inserted {b}"]
     got = passages.find(docs(spark, texts)).where("start_word >= 580").collect()
     assert got and max(r["n_words"] for r in got) >= 60
+
+
+def fuzzy_pairs(n, words, share, seed):
+    """Pairs of texts with one passage each that differs in so many of its words; the second texts come after all first."""
+    r, out = random.Random(seed), []
+    for i in range(n):
+        passage = prose(words, 5000 + 10 * i + seed).split()
+        changed = list(passage)
+        for j in r.sample(range(words), int(words * share)):
+            changed[j] = f"q{i}w{j}"
+        out.append((f"{prose(40, 6000 + i)} {' '.join(passage)}", f"{' '.join(changed)} {prose(40, 7000 + i)}"))
+    return [a for a, _ in out] + [b for _, b in out]
+
+
+def test_fuzzy_passages_are_seeded(spark):
+    even = prose(240, 75).split()
+    even = [" ".join(even), " ".join(w if i % 12 else "x" + w for i, w in enumerate(even))]
+    texts = fuzzy_pairs(30, 60, 0.15, 1)
+    got = {(r["doc_id"], r["first_doc_id"]) for r in passages.find(docs(spark, even + texts)).collect()}
+    assert (1, 0) in got and len(got & {(32 + i, 2 + i) for i in range(30)}) >= 29
+
+
+def test_a_seed_near_a_passage_does_not_undo_it():
+    x = np.arange(100, dtype=np.uint32)
+    y = np.concatenate([x[:52], np.arange(500, 516, dtype=np.uint32), x[68:73], np.arange(600, 627, dtype=np.uint32)])
+    assert [p[:2] for p in passages.passages_of([(0, 0, 52), (68, 68, 5)], x, y, 50, 0.95)] == [(0, 52)]
