@@ -37,8 +37,15 @@ PATTERNS: list[tuple[str, re.Pattern, str]] = [  # kind, pattern, what a text mu
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), "."),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"), ""),
-    ("name", re.compile(rf"(?<!\w)(?P<title>{_TITLE})(?P<gap>\.? )(?P<names>[^\W\d_a-zа-я]{_WORD}(?: [^\W\d_a-zа-я]{_WORD})?)"), " "),
 ]
+#: Parts of names: words that begin with no small letter, with hyphens or apostrophes; initials; small words within family names.
+_PART = rf"[^\W\d_a-zа-я]{_WORD}(?:[-'’]{_WORD})*"
+_INITIAL = r"[^\W\d_a-zа-я]\."
+_SMALL = "van|von|der|den|de|del|della|di|da|dos|du|la|le|ter|bin|al"
+TITLED = re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.?[ \n](?P<names>(?:(?:{_PART}|{_INITIAL}|{_SMALL})[ \n])*{_PART})(?!\w)")
+PIECE = re.compile(rf"{_PART}|{_INITIAL}")
+_TITLES = {t for g in TITLES.values() for t in g}
+_GIVEN = {n.lower() for names in NAMES.values() for n in names}
 
 
 def luhn(digits: str) -> bool:
@@ -66,11 +73,62 @@ def canonical(kind: str, text: str) -> str | None:
     if kind == "iban":
         flat = text.replace(" ", "")
         return flat if 15 <= len(flat) <= 34 and _mod97(flat) == 1 else None
-    if kind == "name":
-        return " ".join(text.split()).lower()
     return text.lower()
 
 
+def _name_parts(text: str) -> list[tuple[int, int, str, str, str]]:
+    """Mentions of the parts of names: those after a title, and all other mentions of the same persons in the text.
+
+    Family names are entities of their own (kind "name"), and so are given names (kind
+    "given", with a gender); so 'Mr Smith', 'John Smith' and 'J. Smith' keep parts of one surrogate.
+    """
+    titled = []
+    for m in TITLED.finditer(text):
+        pieces = [(m.start("names") + x.start(), m.start("names") + x.end()) for x in PIECE.finditer(m["names"])]
+        cut = next((i for i, (s, e) in enumerate(pieces) if text[s:e] in _TITLES), len(pieces))
+        if cut:
+            titled.append((m["title"], pieces[:cut]))
+    if not titled:
+        return []
+    family, given, persons = set(), {}, []
+    for title, pieces in titled:
+        *first, last = [text[s:e].lower() for s, e in pieces]
+        if first:
+            family.add(last)
+            persons.append((last, first))
+            named = next((f for f in first if not f.endswith(".")), first[0])
+            for f in first:
+                if not f.endswith("."):
+                    given.setdefault(f, gender_of(named, title))
+    for title, pieces in titled:
+        only = text[slice(*pieces[0])].lower()
+        if len(pieces) == 1 and only not in given:
+            family.add(only)
+    spots = {(s, e): title for title, pieces in titled for s, e in pieces}
+    found, pieces = [], [x.span() for x in PIECE.finditer(text) if not x.start() or not (text[x.start() - 1].isalnum() or text[x.start() - 1] == "_")]
+    for i in range(len(pieces) - 1, -1, -1):  # backwards: a family name tells of what stands before it
+        s, e = pieces[i]
+        word = text[s:e].lower()
+        after = found[-1] if found and text[e : found[-1][0]] in (" ", "\n") else None
+        if word.endswith("."):
+            if after is None and (s, e) not in spots:
+                continue
+            held = after[3] if after else ""
+            full = next((f for last, first in persons for f in first if f[0] == word[0] and not f.endswith(".") and (last == held or held in first)), None)
+            gender = given[full] if full else gender_of(word, spots.get((s, e), ""))
+            found.append((s, e - 1, "given", full or word, gender))
+        elif word in family and not (word in given and after):
+            found.append((s, e, "name", word, ""))
+        elif word in given or (after and word in _GIVEN):
+            found.append((s, e, "given", word, given.get(word) or gender_of(word, "")))
+        elif "-" in word or "'" in word or "’" in word:  # a known part within a longer one: 'Smith's', 'Smith-Jones'
+            for x in reversed(list(re.finditer(_WORD, text[s:e]))):
+                w = x[0].lower()
+                if w in family or w in given:
+                    found.append((s + x.start(), s + x.end(), "name" if w in family else "given", w, "" if w in family else given[w]))
+    return found
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, canonical, context) of the entities of a text, without overlaps; earlier kinds come first."""
     found: list[tuple[int, int, str, str, str]] = []
@@ -79,14 +137,20 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
         if (kind in ("ip", "phone", "card", "ssn", "iban", "secret") and not digits) or (need and need not in text):
             continue
         for m in pattern.finditer(text):
-            s, e = m.span("names") if kind == "name" else m.span()
-            context = m["title"] if kind == "name" else ""
-            c = canonical(kind, text[s:e])
-            if c is not None and not any(s < y and x < e for x, y, *_ in found):
-                found.append((s, e, kind, c, context))
+            c = canonical(kind, m[0])
+            if c is not None and not any(m.start() < y and x < m.end() for x, y, *_ in found):
+                found.append((*m.span(), kind, c, ""))
+    found += [n for n in _name_parts(text) if not any(n[0] < y and x < n[1] for x, y, *_ in found)]
     return sorted(found)
 
 
+def counted(text: str, found: list[tuple[int, int, str, str, str]]) -> int:
+    """Mentions of entities; parts of one name that stand together count once."""
+    parts, gap = ("name", "given"), re.compile(rf"[ \n](?:(?:{_SMALL})[ \n])*")
+    together = lambda a, b: gap.fullmatch(text, a[1] + (a[1] - a[0] == 1 and text[a[1]] == "."), b[0])
+    return len(found) - sum(a[2] in parts and b[2] in parts and together(a, b) is not None for a, b in zip(found, found[1:], strict=False))
+
+
 class Stream:
     """Keyed choices for one entity and attempt."""
 
@@ -139,6 +203,12 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY, gender: st
         return entity[:keep] + str(2 + r.below(8)) + r.digits(len(entity) - keep - 1)
     script = script_of(entity)
     first, last = _PARTS[script]
+    if kind == "given":
+        names, end = NAMES[script, gender or gender_of(entity, "")], {"latin": "ao", "cyrillic": "ая"}[script]
+        if attempt < 3:
+            return "-".join(names[r.below(len(names))] for _ in entity.split("-"))
+        made = "".join(first[r.below(len(first))] for _ in range(1 + attempt // 3)).capitalize()
+        return made + (end[0] if gender == "f" else "" if script == "cyrillic" else end[1])
     family = ("".join(first[r.below(len(first))] for _ in range(2 + attempt // 2)) + last[r.below(len(last))]).capitalize()
     given = NAMES[script, gender or gender_of(entity, "")]
     return family if " " not in entity else f"{given[r.below(len(given))]} {family}"
@@ -149,13 +219,15 @@ def render(kind: str, original: str, made: str) -> str:
     if kind in ("card", "phone", "iban"):
         left = iter(made)
         return "".join(next(left, "") if c.isalnum() else c for c in original) + "".join(left)
-    if kind in ("email", "secret", "name") and original.upper() == original and any(c.isalpha() for c in original):
+    if kind == "given" and len(original) == 1:
+        return made[0]
+    if kind in ("email", "secret", "name", "given") and original.upper() == original and any(c.isalpha() for c in original):
         return made.upper()
-    return made if kind != "name" or original != original.lower() else made.lower()
+    return made if kind not in ("name", "given") or original != original.lower() else made.lower()
 
 
 def _entity_key(kind: str, canon: str, context: str) -> tuple[str, str, str]:
-    return kind, canon, (gender_of(canon, context) if kind == "name" else "")
+    return kind, canon, context
 
 
 def _per_doc(docs: DataFrame) -> DataFrame:
@@ -186,13 +258,13 @@ def assign(entities: DataFrame, key: bytes = KEY, make: Callable = surrogate) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.string())], names=["kind", "entity", "gender", "attempt", "made"])
 
     schema = "kind string, entity string, gender string, attempt int, made string"
-    names = entities.select("kind", F.col("entity").alias("made")).distinct()
+    names = entities.select("kind", F.lower("entity").alias("low")).distinct()  # names are made with capitals
     open_ = entities.withColumn("attempt", F.lit(0))
     held = None
     for _ in range(MAX_ROUNDS):
         proposed = saved(open_.mapInArrow(propose, schema), "surrogates")
         first = proposed.groupBy("kind", "made").agg(F.min_by(F.struct("entity", "gender"), F.struct(F.xxhash64("entity", "gender"), "entity", "gender")).alias("first"))
-        free = first.join(names, ["kind", "made"], "left_anti")
+        free = first.withColumn("low", F.lower("made")).join(names, ["kind", "low"], "left_anti").drop("low")
         if held is not None:
             free = free.join(held.select("kind", "made"), ["kind", "made"], "left_anti")
         won = saved(proposed.join(free, ["kind", "made"]).where((F.col("entity") == F.col("first.entity")) & (F.col("gender") == F.col("first.gender"))).select("kind", "entity", "gender", "attempt", "made"), "surrogates-held")
@@ -209,8 +281,9 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with each entity of the texts replaced, then n_entities (int) and kinds (array of names, sorted).
 
     Detected kinds: e-mail, secret, IBAN, card (with check digit), SSN, IPv4, phone,
-    and names after a title. All mentions of an entity over the corpus get one
-    surrogate, different entities different ones (names are told apart by gender
+    and names: those after a title, and all mentions of their parts in the same text. All
+    mentions of an entity over the corpus get one surrogate, different entities different
+    ones; family and given names are entities of their own (given names told apart by gender
     too). Null text stays null; texts without entities stay as they are; repeated
     rows are replaced alike. Columns named n_entities or kinds are renamed docs_*.
     Surrogates are computed from key and entity; only the attempt numbers above 0
@@ -244,8 +317,8 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                     parts += [text[at:s], render(kind, text[s:e], surrogate(kind, canon, more.get(which, 0), key, which[2]))]
                     at = e
                 texts.append("".join([*parts, text[at:]]) if found else text)
-                counts.append(len(found))
-                kinds.append(sorted({f[2] for f in found}))
+                counts.append(counted(text or "", found))
+                kinds.append(sorted({"name" if f[2] == "given" else f[2] for f in found}))
             columns = list(batch.columns[: batch.num_columns - own])
             columns[where] = pa.array(texts, batch.schema.field(where).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(kinds, pa.list_(pa.string()))], names=[*batch.schema.names[: len(columns)], "n_entities", "kinds"])

@@ -260,3 +260,19 @@ def test_a_seed_near_a_passage_does_not_undo_it():
     x = np.arange(100, dtype=np.uint32)
     y = np.concatenate([x[:52], np.arange(500, 516, dtype=np.uint32), x[68:73], np.arange(600, 627, dtype=np.uint32)])
     assert [p[:2] for p in passages.passages_of([(0, 0, 52), (68, 68, 5)], x, y, 50, 0.95)] == [(0, 52)]
+
+
+def test_surrogates_of_names_keep_coreference(spark):
+    texts = [
+        "John Smith met Mr John Smith. Smith left; J. Smith's car. Mr Smith, SMITH and John stayed.",
+        "Dr Anna Maria Lopez and Mr Jean-Luc Picard saw Mr J. Smith. Lopez spoke, Anna too; Picard did not.",
+        "Herr Jan van der Berg came.\nBerg left. Smith is no person here.",
+    ]
+    rows = {r["doc_id"]: r for r in pii.replace(docs(spark, texts, False)).collect()}
+    out = [rows[i]["text"] for i in range(3)]
+    clear = ["Smith", "John", "SMITH", "Lopez", "Anna", "Maria", "Jean", "Luc", "Picard", "Jan", "Berg"]
+    assert not [w for w in clear if re.search(rf"\b{w}\b", out[0] + out[1] + out[2].split("left")[0])] and out[2].endswith("left. Smith is no person here.")
+    m = re.fullmatch(r"(\S+) (\S+) met Mr (\S+) (\S+)\. (\S+) left; (\S)\. (\S+)'s car\. Mr (\S+), (\S+) and (\S+) stayed\.", out[0])
+    given, family = m[1], m[2]
+    assert [m[3], m[10]] == [given] * 2 and [m[i] for i in (4, 5, 7, 8)] == [family] * 4 and m[9] == family.upper() and m[6] == given[0]
+    assert f". {family}. " in out[1] and rows[0]["kinds"] == ["name"] and rows[0]["n_entities"] == 7
