@@ -41,7 +41,7 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: SQL can express neither the classifier's fit nor the tokenizer; tests hold the stages against plain versions.
+#: SQL can express neither the classifier's fit nor the tokenizer; tests hold columns and row counts of the stages, and single operators against plain versions.
 ORACLE_SQL = None
 
 
