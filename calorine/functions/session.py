@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -36,9 +38,48 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
+_held: dict[str, SparkSession] = {}
+
+
+def saved(df: DataFrame, name: str, compression: str = "zstd", **options: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The files go when `discard` is called on the frame, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    _held[path] = spark
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of frames that `saved` made and that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "scratch_path", None)
+        spark = _held.pop(path, None)
+        if spark is not None:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in _held.items():
+        with contextlib.suppress(Exception):  # a stopped session's gateway; nothing is left to tell
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+
+
+def partitions(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """Partitions for a shuffle of about what df's files hold: the session's number, or more where those would be large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-total // bytes_each), 1_000_000))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from calorine.functions.session import saved
+from calorine.functions.session import discard, saved
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     see, first among larger neighbours and then among smaller ones, so path-like
     components shrink geometrically. Only per-node minima are aggregated (with
     map-side combine); a node of any degree is never gathered in one task. Each
-    round is written to the shared folder. Self-loops and nulls are ignored.
+    round is written to the shared folder, and the one before it removed. Self-loops and nulls are ignored.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and u <> v").distinct()
     e = saved(e, "components")
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = saved(large, "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(down.union(low).where("u <> v").distinct(), "components")
+        earlier, e = e, saved(down.union(low).where("u <> v").distinct(), "components")
+        discard(earlier, large)
         now = _fingerprint(e)
         if now == state:
             break
