@@ -24,11 +24,14 @@ def examples(conversations: DataFrame, trained_role: str = "assistant") -> DataF
     loss_end (code points of the trainable part). A conversation that does not end
     with a trained turn gets one last example with an empty mask, so that no turn
     is lost. Rows are ordered by turn, then role, then text (null turns first);
-    repeated rows are turns of their own. Null text and role are empty; null
-    conv_ids form one conversation. Other columns are ignored.
+    repeated rows are turns of their own. Null text and role are empty; a row without
+    a conv_id is a conversation of its own. An empty table gives no examples. Other
+    columns are ignored. Examples grow with the square of a conversation's turns: that is the expansion.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    one = F.struct("turn", "role", "text")
+    turns = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    turns = turns.union(rows.where("conv_id is null").select("conv_id", F.array(one)))
     head = lambda x: F.concat(F.lit(TURN), escape(x["role"]), F.lit(SAYS))
     parts = turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), head(x).alias("head"), escape(x["text"]).alias("body"))).alias("p"))
     last = F.size("p")
@@ -42,13 +45,18 @@ def examples(conversations: DataFrame, trained_role: str = "assistant") -> DataF
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, from the examples alone: its turns and its trainable text, as digests."""
+    """Per conversation, from the examples alone: its turns and its trainable text, as digests.
+
+    Examples without a conv_id, which hold one turn each, give a row each.
+    """
     masked = F.expr("substring(text, cast(loss_start as int) + 1, cast(loss_end - loss_start as int))")
-    all_of = formatted.groupBy("conv_id").agg(
+    body = F.struct("example", masked.alias("body"))
+    all_of = formatted.where("conv_id is not null").groupBy("conv_id").agg(
         F.max_by("text", "example").alias("text"),
-        F.array_sort(F.collect_list(F.struct("example", masked.alias("body")))).alias("masked"),
+        F.array_sort(F.collect_list(body)).alias("masked"),
         F.sum(F.length("text").cast("long")).alias("formatted_chars"),
     )
+    all_of = all_of.union(formatted.where("conv_id is null").select("conv_id", "text", F.array(body), F.length("text").cast("long")))
     turns = F.transform(F.filter(F.split("text", END), lambda x: x != ""), lambda x: F.concat(unescape(F.substring_index(F.substring(x, len(TURN) + 1, 2**31 - 1), SAYS, 1)), F.lit("\n"), unescape(F.substring_index(x, SAYS, -1)), F.lit("\n")))
     loss = F.array_join(F.transform("masked", lambda x: unescape(x["body"])), "")
     read = all_of.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted_chars")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from calorine.functions.session import partitions
+
 #: Sources whose rates are sent as a broadcast table; more are joined by key.
 BROADCAST_SOURCES = 10_000
-#: Rates above this are drawn as a sum of draws, for exp(-rate) must stay a normal number.
+#: A rate is drawn as the sum of so many equal draws that each stays below this, for exp(-rate) must stay a normal number.
 RATE_STEP = 200.0
 ALPHA, EPOCHS, SEED = 0.5, 1.0, "mix-1"
 
@@ -19,16 +19,26 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def _terms(rate: float) -> int:
-    """Terms after which the tail of a Poisson distribution is below the steps of `uniform`."""
-    return math.ceil(rate + 9 * math.sqrt(rate) + 30)
+def poisson_quantile(u: Column, rate: Column) -> Column:
+    """The least k with u < CDF(k); a null or non-positive rate gives 0.
 
-
-def poisson_quantile(u: Column, rate: Column, most: float) -> Column:
-    """The least k with u < CDF(k), for rates up to `most`; null or non-positive rates give 0."""
+    The terms end where the tail is below the steps of `uniform`.
+    """
     start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c"))
     step = lambda s, i: F.struct(F.when(u >= s["c"], i).otherwise(s["k"]).alias("k"), (s["p"] * rate / i).alias("p"), (s["c"] + s["p"] * rate / i).alias("c"))
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), F.lit(_terms(most))), start, step, lambda s: s["k"])).otherwise(F.lit(0))
+    terms = F.ceil(rate + 9 * F.sqrt(rate) + 30).cast("int")
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: s["k"])).otherwise(F.lit(0))
+
+
+def poisson_count(seed: str, key: Column, rate: Column) -> Column:
+    """Poisson(rate) at the hash of seed and key: one draw, or the sum of equal ones where the rate is high.
+
+    It depends on this rate alone, not on the rates of other sources.
+    """
+    draws = F.greatest(F.ceil(rate / F.lit(RATE_STEP)), F.lit(1)).cast("int")
+    one = poisson_quantile(uniform(F.lit(seed), key), rate / draws)
+    more = F.aggregate(F.sequence(F.lit(1), draws - 1), F.lit(0), lambda n, i: n + poisson_quantile(uniform(F.lit(seed), key, i), rate / draws))
+    return F.when(rate > 0, one + F.when(draws > 1, more).otherwise(F.lit(0))).otherwise(F.lit(0))
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = EPOCHS, alpha: float = ALPHA) -> DataFrame:
@@ -62,23 +72,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs:
     docs = docs.withColumnsRenamed({c: f"docs_{c}" for c in extra})
     rates = source_rates(docs, weights, epochs, alpha)
     first = rates.limit(BROADCAST_SOURCES + 1).collect()
-    most = max([r[1] or 0.0 for r in first], default=0.0)
     if len(first) > BROADCAST_SOURCES:
-        most = rates.agg(F.max("rate")).first()[0] or 0.0
         joined = docs.join(rates, docs["source"].eqNullSafe(F.col("mix_source")))
     else:
         table = docs.sparkSession.createDataFrame([tuple(r) for r in first], rates.schema)
         joined = docs.join(F.broadcast(table), docs["source"].eqNullSafe(F.col("mix_source")))
-    draws = max(1, math.ceil(most / RATE_STEP))
-    counts = [poisson_quantile(uniform(F.lit(seed), F.col("doc_id"), *([F.lit(i)] * bool(i))), F.col("rate") / draws, most / draws) for i in range(draws)]
-    total = counts[0]
-    for c in counts[1:]:
-        total = total + c
-    copies = joined.withColumn("mix_count", total).where("mix_count > 0")
+    copies = joined.withColumn("mix_count", poisson_count(seed, F.col("doc_id"), F.col("rate"))).where("mix_count > 0")
     copies = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
     key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
     out = copies.drop("mix_source", "rate", "mix_count").withColumn("mix_key", key)
-    return out.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mix_key").sortWithinPartitions("mix_key")
+    return out.repartitionByRange(partitions(docs), "mix_key").sortWithinPartitions("mix_key")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,11 @@ def _first_scan(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, n long, f long, g long, bands array<long>, slice int, blob binary")
 
 
+def _saturated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sum of two counters, which stay at the greatest int32 rather than wrap."""
+    return np.minimum(x.astype(np.int64) + y, np.iinfo(np.int32).max).astype(np.int32)
+
+
 def _sketch(rows: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches: SKETCH counters, whatever the input."""
 
@@ -111,14 +116,14 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = np.frombuffer(pa.decompress(blob.as_buffer(), SKETCH // SLICES * 4, codec="zstd"), np.int32)
-                held[s] = held[s] + x if s in held else x.copy()
+                held[s] = _saturated(held[s], x) if s in held else x.copy()
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in held.values()], pa.binary())], names=["slice", "blob"])
 
     slices = rows.where("slice is not null").select("slice", "blob").repartition(SLICES, "slice").mapInArrow(add, "slice int, blob binary").collect()
     out = np.zeros((SLICES, SKETCH // SLICES), np.int32)
     for s, blob in slices:
-        out[s] += np.frombuffer(pa.decompress(bytes(blob), SKETCH // SLICES * 4, codec="zstd"), np.int32)
+        out[s] = _saturated(out[s], np.frombuffer(pa.decompress(bytes(blob), SKETCH // SLICES * 4, codec="zstd"), np.int32))
     return out.reshape(-1)
 
 

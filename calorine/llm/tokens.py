@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from calorine.functions.session import saved, scratch_root
-from calorine.llm.words import _BASE, CHUNK, bounded, _power_table, mix, texts_of
+from calorine.llm.words import CHUNK, bounded, mix, texts_of
 
 #: Ids in one block of the files, about.
 BLOCK_IDS = 1 << 20
@@ -60,7 +61,9 @@ _SPLIT[0x30:0x3A] = 2
 _SPLIT[0x41:0x5B] = _SPLIT[0x61:0x7B] = 1
 _SPLIT[0x80:0xC0] = _SPLIT[[0xC3, 0xC4, 0xC5]] = 1  # with what may follow them, Latin letters; see _odd
 _SPLIT[0x27] = 9
-CACHE_BITS = 20
+#: Slots of each half of the cache (24 bytes each), ids it holds, and bytes of the pre-tokens that it is keyed by.
+CACHE_BITS, POOL_IDS, KEY_BYTES = 18, 1 << 21, 16
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _odd(raw: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -101,14 +104,35 @@ def pretoken_starts(raw: np.ndarray, c: np.ndarray, offsets: np.ndarray) -> np.n
     return np.flatnonzero(mark[:n])
 
 
+def packed(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first KEY_BYTES bytes of pre-tokens as two numbers each; none holds a zero byte, so equal numbers are equal bytes."""
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(KEY_BYTES, np.uint8)]), 8)
+    low, high = (np.ascontiguousarray(view[starts + k]).view("<u8").reshape(-1) for k in (0, 8))
+    return low & _MASKS[np.minimum(size, 8)], high & _MASKS[np.clip(size - 8, 0, 8)]
+
+
+def pieces(data: np.ndarray, size: int) -> list[int]:
+    """Where a long text may be parted: at a single space between two ASCII characters, where a pre-token always starts."""
+    plain = (data > 0x20) & (data < 0x7F)
+    may = np.flatnonzero((data[1:-1] == 0x20) & plain[:-2] & plain[2:]) + 1
+    cuts = [0]
+    while len(data) - cuts[-1] > size:
+        at = int(np.searchsorted(may, cuts[-1] + size))
+        if at == len(may):
+            break
+        cuts.append(int(may[at]))
+    return [*cuts, len(data)]
+
+
 class Encoder:
     """Ids of the tokenizers library, with a cache by pre-token where pre-tokens are known to be independent.
 
     A byte-level BPE without a normalizer encodes each pre-token alone. Texts of
     ASCII and Latin letters without apostrophes are split here, many at once, and
-    only pre-tokens that the cache does not hold go through the library; the cache
-    has a fixed size and is keyed by 64-bit hashes. Any other text, texts that hold
-    special tokens, and other kinds of tokenizers are passed to the library whole.
+    only pre-tokens that the cache does not hold go through the library. The cache
+    has a fixed size and is keyed by the bytes themselves. Any other text, texts that
+    hold special tokens, and other kinds of tokenizers are passed to the library
+    whole; texts of more than CHUNK bytes are encoded in pieces where that is safe.
     """
 
     _made: dict[str, Encoder] = {}
@@ -121,6 +145,7 @@ class Encoder:
         return cls._made[path]
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -134,43 +159,75 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros((2, 1 << CACHE_BITS), np.uint64)
-        self.at = np.zeros((2, 1 << CACHE_BITS), np.int32)
-        self.size = np.zeros((2, 1 << CACHE_BITS), np.int32)
-        self.pool = np.zeros(1 << 22, self.kind)
+        n = 1 << CACHE_BITS
+        self.low, self.high = np.zeros((2, n), np.uint64), np.zeros((2, n), np.uint64)
+        self.at, self.size = np.zeros((2, n), np.int32), np.zeros((2, n), np.int32)
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.pool = np.zeros(POOL_IDS, self.kind)
         self.used = 0
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def whole(self, texts: list[str], at_once: int = 4096) -> list[np.ndarray]:
+        out = []
+        for i in range(0, len(texts), at_once):
+            out += [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
+        return out
 
-    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(low + mix(high + np.uint64(1)))
         return (h >> np.uint64(64 - CACHE_BITS)).astype(np.int64), (h & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64)
 
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, size, known) of hashes in the cache."""
-        one, two = self._slots(h)
-        first, second = self.keys[0][one] == h, self.keys[1][two] == h
-        return np.where(first, self.at[0][one], self.at[1][two]), np.where(first, self.size[0][one], self.size[1][two]), first | second
-
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
-        ids = self.whole(words)
-        flat = np.concatenate(ids)
-        if self.used + len(flat) > len(self.pool):
-            if len(self.pool) < 1 << 25:
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), self.kind)])
-            else:  # full: start anew, with room for these
-                self.forget()
-                if len(flat) > len(self.pool):
-                    self.pool = np.zeros(2 * len(flat), self.kind)
-        size = np.array([len(x) for x in ids], np.int32)
-        place = (self.used + np.cumsum(size) - size).astype(np.int32)
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        one, two = self._slots(h)
-        free = self.keys[0][one] == 0
-        for k, slot, which in ((0, one, free), (1, two, ~free)):
-            self.keys[k][slot[which]], self.at[k][slot[which]], self.size[k][slot[which]] = h[which], place[which], size[which]
-        self.fresh = dict(zip(h.tolist(), zip(place.tolist(), size.tolist(), strict=True), strict=True))
+    def _find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, size, known) of pre-tokens in the cache."""
+        one, two = self._slots(low, high)
+        first = (self.low[0][one] == low) & (self.high[0][one] == high)
+        second = (self.low[1][two] == low) & (self.high[1][two] == high)
+        return np.where(first, self.at[0][one], self.at[1][two]).astype(np.int64), np.where(first, self.size[0][one], self.size[1][two]).astype(np.int64), first | second
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the ids of pre-tokens into the pool: (place, size)."""
+        ids = self.whole([w.decode() for w in words])
+        size = np.array([len(x) for x in ids], np.int64)
+        place = self.used + np.cumsum(size) - size
+        if ids:
+            flat = np.concatenate(ids)
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+        return place, size
+
+    def _ids(self, raw: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, size) in the pool of the ids of all pre-tokens."""
+        length = ends - starts
+        low, high = packed(raw, starts, length)
+        long = length > KEY_BYTES
+        place, size, known = self._find(low, high)
+        known &= ~long
+        spans = list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        fresh = dict.fromkeys(w for s, e in spans if (w := text[s:e]) not in self.long)
+        miss = np.flatnonzero(~known & ~long)
+        order = miss[np.lexsort((low[miss], high[miss]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        need = int(length[order[new]].sum()) + sum(map(len, fresh))  # an id takes a byte at least
+        if self.used and self.used + need > len(self.pool):
+            self.forget()  # nothing that this chunk has found may move, so all is found anew
+            return self._ids(raw, text, starts, ends)
+        if need > len(self.pool):
+            self.pool = np.zeros(need, self.kind)
+        if len(order):
+            first = order[new]
+            at, n = self._learn([text[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            which = np.cumsum(new) - 1
+            place[order], size[order] = at[which], n[which]
+            one, two = self._slots(low[first], high[first])
+            free = self.low[0][one] == 0
+            for k, slot, put in ((0, one, free), (1, two, ~free)):
+                self.low[k][slot[put]], self.high[k][slot[put]] = low[first][put], high[first][put]
+                self.at[k][slot[put]], self.size[k][slot[put]] = at[put], n[put]
+        if fresh:
+            self.long |= dict(zip(fresh, zip(*(x.tolist() for x in self._learn(list(fresh))), strict=True), strict=True))
+        if spans:
+            place[long], size[long] = np.array([self.long[text[s:e]] for s, e in spans], np.int64).T
+        return place, size
 
     def chunk(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a chunk of bytes."""
@@ -193,25 +250,9 @@ class Encoder:
             keep = ~np.repeat(odd, np.diff(of))
             kept = np.concatenate([[0], np.cumsum(keep)])
             starts, ends, of = starts[keep], ends[keep], kept[of]
-        up, down = _power_table(_BASE, len(raw))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-        h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)) | np.uint64(1)
-        place, size, known = self._find(h)
-        if not known.all():
-            miss = np.flatnonzero(~known)
-            new, first = np.unique(h[miss], return_index=True)
-            first = miss[first]
-            if self.used + 16 * len(new) > 1 << 25:
-                self.forget()  # nothing that this chunk has found may move
-                new, first = np.unique(h, return_index=True)
-                miss = np.arange(len(h))
-            self._learn(new, [text[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-            spot = np.array([self.fresh[k] for k in new.tolist()], np.int64).reshape(-1, 2)
-            which = np.searchsorted(new, h[miss])
-            place, size = place.astype(np.int64), size.astype(np.int64)
-            place[miss], size[miss] = spot[which, 0], spot[which, 1]
-        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        flat = self.pool[np.repeat(place - upto[:-1], size) + np.arange(upto[-1])] if len(h) else np.zeros(0, self.kind)
+        place, size = self._ids(raw, text, starts, ends)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = self.pool[np.repeat(place - upto[:-1], size) + np.arange(upto[-1])]
         cut = upto[of]
         out = [flat[cut[i] : cut[i + 1]] for i in range(n)]
         which = np.flatnonzero(odd).tolist()
@@ -225,7 +266,12 @@ class Encoder:
         a, n = 0, len(offsets) - 1
         while a < n:
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
-            yield self.chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            raw = data[offsets[a] : offsets[b]]
+            if self.fast and len(raw) > CHUNK and not any(raw.tobytes().find(s) >= 0 for s in self.special):
+                cuts = pieces(raw, CHUNK)
+                yield [np.concatenate([self.chunk(raw[s:e], np.array([0, e - s]))[0] for s, e in zip(cuts, cuts[1:], strict=False)])]
+            else:
+                yield self.chunk(raw, offsets[a : b + 1] - offsets[a])
             a = b
 
 

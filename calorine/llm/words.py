@@ -27,7 +27,7 @@ ALNUM[0x80:] = True
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, in a session that hands at most BATCH_ROWS rows at once to Python."""
+    """df, in a session that hands at most BATCH_ROWS rows at once to Python (the setting stays, for plans are lazy)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(df.sparkSession.conf.get(key, "10000"))
     if not 0 < now <= BATCH_ROWS:
@@ -85,9 +85,17 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        up, down = _power_table(_BASE, n)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = np.empty(len(self.start), np.uint64)
+        a = 0
+        while a < len(self.start):  # so many bytes at once, for a long text too; a hash does not depend on where its word stands
+            first = self.start[a]
+            b = max(a + 1, int(np.searchsorted(self.end, first + CHUNK, "right")))
+            s, e = self.start[a:b] - first, self.end[a:b] - first
+            up, down = _power_table(_BASE, int(e[-1]))
+            total = np.zeros(e[-1] + 1, np.uint64)
+            np.cumsum((data[first : first + e[-1]].astype(np.uint64) + np.uint64(1)) * up[: e[-1]], dtype=np.uint64, out=total[1:])
+            self.hash[a:b] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+            a = b
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window at each word, and whether it lies within one text."""

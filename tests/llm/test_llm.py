@@ -276,3 +276,33 @@ def test_surrogates_of_names_keep_coreference(spark):
     given, family = m[1], m[2]
     assert [m[3], m[10]] == [given] * 2 and [m[i] for i in (4, 5, 7, 8)] == [family] * 4 and m[9] == family.upper() and m[6] == given[0]
     assert f". {family}. " in out[1] and rows[0]["kinds"] == ["name"] and rows[0]["n_entities"] == 7
+
+
+def test_a_rate_of_one_source_does_not_touch_another(spark):
+    df = spark.createDataFrame([(i, "t", "en", "a" if i % 2 else "b", 1) for i in range(400)], DOCS)
+    counts = []
+    for weight in (1.0, 100.0, 500.0):  # a keeps its rate of 1
+        mixed = mixing.mix(df, {"a": 1.0, "b": weight}, epochs=(1 + weight) / 2)
+        counts.append({r[0]: r[1] for r in mixed.where("source = 'a'").groupBy("doc_id").count().collect()})
+    assert counts[0] == counts[1] == counts[2] and 150 < sum(counts[0].values()) < 250
+
+
+def test_chat_edge_cases(spark):
+    rows = [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, None, None, None), (4, None, "assistant", "a"), (4, None, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.examples(df)).collect())
+    assert got == [(0, 1, 0)] * 3 + [(4, 2, 2)]
+    assert chat.read_back(chat.examples(df.limit(0))).count() == 0
+
+
+def test_long_texts_are_encoded_in_pieces(spark):
+    e = tokens.Encoder(tokens.default_tokenizer())
+    long = " ".join("".join(rng.choice("abcdefgh,.é") for _ in range(rng.randint(1, 30))) for _ in range(60_000))
+    texts = [long, long.replace(",", " '"), "x" * 600_000, long + "<|endoftext|>" + long[:10], "a"]
+    got = [x.tolist() for part in e(pa.array(texts)) for x in part]
+    assert got == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_counters_saturate():
+    top = np.iinfo(np.int32).max
+    assert setjoin._saturated(np.array([top, 5, 0], np.int32), np.array([9, 5, 0], np.int32)).tolist() == [top, 10, 0]
