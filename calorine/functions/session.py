@@ -39,6 +39,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 _held: dict[str, SparkSession] = {}
+#: Where scratch is a file: folder, leave out checksum files: without native libraries each file there costs four processes (chmod) otherwise.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def saved(df: DataFrame, name: str, compression: str = "zstd", **options: str) -> DataFrame:
@@ -48,7 +50,7 @@ def saved(df: DataFrame, name: str, compression: str = "zstd", **options: str) -
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(compression=compression, **options).parquet(path)
+    df.write.options(compression=compression, **_PLAIN_FILES, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     _held[path] = spark
