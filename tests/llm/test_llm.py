@@ -94,7 +94,7 @@ def test_decontamination_against_brute_force(spark):
                     found.add(str(item))
         want[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     bench = spark.createDataFrame(items, BENCH)
-    for per_scan in (10**6, 60):
+    for per_scan in (10**6, 5):
         got = {r[0]: tuple(r)[1:] for r in decontaminate.report(docs(spark, texts), bench, per_scan=per_scan).collect()}
         assert got == want
     assert {r["doc_id"] for r in decontaminate.remove(docs(spark, texts), bench).collect()} == {d for d, v in want.items() if not v[4]}
@@ -306,3 +306,15 @@ def test_long_texts_are_encoded_in_pieces(spark):
 def test_counters_saturate():
     top = np.iinfo(np.int32).max
     assert setjoin._saturated(np.array([top, 5, 0], np.int32), np.array([9, 5, 0], np.int32)).tolist() == [top, 10, 0]
+
+
+def test_decontamination_is_the_same_for_any_benchmark_size(spark):
+    items = [(1, prose(40, 1)), (2, prose(13, 2)), (3, "short Item here"), (None, prose(20, 3)), (5, prose(40, 1))]
+    bench = spark.createDataFrame(items, BENCH)
+    a, b = items[0][1], items[3][1]
+    rows = [(1, prose(30, 51) + " " + a, "en", "s", 0), (1, "clean words", "en", "s", 0), (None, b, "en", "s", 0), (None, "other clean words", "en", "s", 0), (None, b, "en", "s", 0), (7, a.upper() + " x short, item-here! y " + prose(400, 52) + " " + b, "en", "s", 0), (8, None, "en", "s", 0), (9, "", None, None, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"hit": F.lit(1), "n": F.lit(2), "k": F.lit(3)})
+    one, two = ([sorted(map(str, x.collect())) for x in (decontaminate.report(df, bench, per_scan=n), decontaminate.remove(df, bench, per_scan=n), decontaminate.remove(df, bench, "spans", per_scan=n))] for n in (10**6, 5))
+    assert one == two and [len(x) for x in one] == [8, 4, 8]
+    spans = {r["doc_id"]: r["text"] for r in decontaminate.remove(df, bench, "spans", per_scan=5).collect() if r["doc_id"]}
+    assert not set(re.findall(r"\w+", spans[1])) - set(prose(30, 51).split()) - {"clean", "words"} and len(re.findall(r"\w+", spans[7])) == 402
