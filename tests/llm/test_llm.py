@@ -318,3 +318,28 @@ def test_decontamination_is_the_same_for_any_benchmark_size(spark):
     assert one == two and [len(x) for x in one] == [8, 4, 8]
     spans = {r["doc_id"]: r["text"] for r in decontaminate.remove(df, bench, "spans", per_scan=5).collect() if r["doc_id"]}
     assert not set(re.findall(r"\w+", spans[1])) - set(prose(30, 51).split()) - {"clean", "words"} and len(re.findall(r"\w+", spans[7])) == 402
+
+
+def test_passages_do_not_depend_on_hot_keys(spark):
+    line = [prose(20, 80 + i) for i in range(3)]
+    texts = [prose(30, 90 + i) + " " + line[i % 3] + " " + prose(30, 190 + i) for i in range(40)]
+    texts += [prose(60, 83), f"{prose(40, 84)} {line[0]} on {line[1]} at {line[2]} {prose(20, 85)}", f"{line[0]} by {line[1]} or {line[2]} {prose(40, 86)}", texts[3], texts[3]]
+    df = docs(spark, texts)
+    cold, hot = (sorted(map(tuple, passages.find(df, hot_least=n).collect())) for n in (10**9, 2))
+    assert cold == hot and (42, 41) in {(r[0], r[4]) for r in cold}
+    assert {(43, 3), (44, 3)} <= {(r[0], r[4]) for r in cold}
+
+
+def test_exact_passages_against_brute_force(spark):
+    """Every document with an exact run of 50 words that an earlier one has is found, among lines that many share."""
+    r = random.Random(11)
+    lines = [prose(r.randint(12, 30), 300 + i) for i in range(12)]
+    texts = [" ".join(r.choice(lines) if r.random() < 0.6 else prose(r.randint(5, 25), 1000 + 50 * i + j) for j in range(r.randint(2, 7))) for i in range(80)]
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        runs = {tuple(w[j : j + 50]) for j in range(len(w) - 49)}
+        want |= {i} if runs & seen else set()
+        seen |= runs
+    assert len(want) > 5
+    assert not want - {r["doc_id"] for r in passages.find(docs(spark, texts), hot_least=5).collect()}
