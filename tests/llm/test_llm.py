@@ -326,8 +326,8 @@ def test_passages_do_not_depend_on_hot_keys(spark):
     texts += [prose(60, 83), f"{prose(40, 84)} {line[0]} on {line[1]} at {line[2]} {prose(20, 85)}", f"{line[0]} by {line[1]} or {line[2]} {prose(40, 86)}", texts[3], texts[3]]
     df = docs(spark, texts)
     cold, hot = (sorted(map(tuple, passages.find(df, hot_least=n).collect())) for n in (10**9, 2))
-    assert cold == hot and (42, 41) in {(r[0], r[4]) for r in cold}
-    assert {(43, 3), (44, 3)} <= {(r[0], r[4]) for r in cold}
+    assert cold == hot
+    assert {(42, 41), (43, 3), (44, 3)} <= {(r[0], r[4]) for r in cold}
 
 
 def test_exact_passages_against_brute_force(spark):
