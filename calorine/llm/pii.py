@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from calorine.functions.session import saved
 from calorine.llm.words import bounded
 
-KEY = b"calorine-surrogates-1"
+#: The session setting that holds the key of the query; without it the query uses a key that is no secret.
+KEY_SETTING, OPEN_KEY = "calorine.surrogates.key", "no-secret"
 #: Entities whose attempt number is sent to all tasks; more are joined by document.
 BROADCAST_BUMPS = 50_000
 MAX_ROUNDS = 40
@@ -36,14 +38,17 @@ PATTERNS: list[tuple[str, re.Pattern, str]] = [  # kind, pattern, what a text mu
     ("card", re.compile(r"(?<![\d.-])(?:\d[ -]?){12,18}\d(?![\d-])"), ""),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), "."),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}|:)(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])"), ":"),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"), ""),
 ]
 #: Parts of names: words that begin with no small letter, with hyphens or apostrophes; initials; small words within family names.
-_PART = rf"[^\W\d_a-zа-я]{_WORD}(?:[-'’]{_WORD})*"
+_PART = rf"[^\W\d_a-zа-я](?:[^\W\d_]+(?:[-'’]{_WORD})*|(?:[-'’]{_WORD})+)"
 _INITIAL = r"[^\W\d_a-zа-я]\."
 _SMALL = "van|von|der|den|de|del|della|di|da|dos|du|la|le|ter|bin|al"
 TITLED = re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.?[ \n](?P<names>(?:(?:{_PART}|{_INITIAL}|{_SMALL})[ \n])*{_PART})(?!\w)")
 PIECE = re.compile(rf"{_PART}|{_INITIAL}")
+_FIRST = [n for names in NAMES.values() for n in names]
+NAMED = re.compile(rf"(?<![\w'’-])({'|'.join(_FIRST)}) ({_PART})(?!\w)")
 _TITLES = {t for g in TITLES.values() for t in g}
 _GIVEN = {n.lower() for names in NAMES.values() for n in names}
 
@@ -67,9 +72,17 @@ def canonical(kind: str, text: str) -> str | None:
         return d if 13 <= len(d) <= 19 and luhn(d) and len(set(d)) > 1 else None
     if kind == "ip":
         return text if all(int(x) < 256 for x in text.split(".")) else None
+    if kind == "ipv6":
+        try:
+            return ipaddress.IPv6Address(text).exploded
+        except ValueError:
+            return None
     if kind == "phone":
         d = re.sub(r"\D", "", text)
+        d = d[1:] if len(d) == 11 and d[0] == "1" else d  # with and without the code 1, which the other forms without a code imply
         return d if 7 <= len(d) <= 15 else None
+    if kind == "secret":
+        return text
     if kind == "iban":
         flat = text.replace(" ", "")
         return flat if 15 <= len(flat) <= 34 and _mod97(flat) == 1 else None
@@ -86,8 +99,14 @@ def _name_parts(text: str) -> list[tuple[int, int, str, str, str]]:
     for m in TITLED.finditer(text):
         pieces = [(m.start("names") + x.start(), m.start("names") + x.end()) for x in PIECE.finditer(m["names"])]
         cut = next((i for i, (s, e) in enumerate(pieces) if text[s:e] in _TITLES), len(pieces))
+        while cut and not text[pieces[cut - 1][0]].isupper():
+            cut -= 1  # small letters beyond the plain ones
         if cut:
             titled.append((m["title"], pieces[:cut]))
+    if any(n in text for n in _FIRST):
+        for m in NAMED.finditer(text):  # a listed given name before a family name needs no title
+            if text[m.start(2)].isupper() and m[2] not in _TITLES and not any(s < m.end() and m.start() < e for _, p in titled for s, e in p):
+                titled.append(("", [m.span(1), m.span(2)]))
     if not titled:
         return []
     family, given, persons = set(), {}, []
@@ -134,7 +153,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
     found: list[tuple[int, int, str, str, str]] = []
     digits = any(c in text for c in "0123456789")
     for kind, pattern, need in PATTERNS:
-        if (kind in ("ip", "phone", "card", "ssn", "iban", "secret") and not digits) or (need and need not in text):
+        if (kind in ("ip", "ipv6", "phone", "card", "ssn", "iban", "secret") and not digits) or (need and need not in text):
             continue
         for m in pattern.finditer(text):
             c = canonical(kind, m[0])
@@ -162,6 +181,10 @@ class Stream:
         self.left, r = divmod(self.left, n)
         return r
 
+    def like(self, text: str, letters: str = "abcdefghijklmnopqrstuvwxyz") -> str:
+        """Digits for digits and letters for letters, small and capital; all else stays."""
+        return "".join(str(self.below(10)) if c.isdigit() else letters[self.below(len(letters))] if c.islower() else letters[self.below(len(letters))].upper() if c.isupper() else c for c in text)
+
     def digits(self, n: int) -> str:
         return "".join(str(self.below(10)) for _ in range(n))
 
@@ -177,17 +200,19 @@ def gender_of(names: str, title: str) -> str:
     return "f" if names.split()[0].lower().endswith(("a", "а", "я")) else "m"
 
 
-def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY, gender: str = "") -> str:
+def surrogate(kind: str, entity: str, attempt: int, key: bytes, gender: str = "") -> str:
     """The canonical surrogate: same kind, length classes, checksum and (names) gender and script."""
     r = Stream(key, kind, entity, attempt)
-    if kind == "email":
-        first, last = _PARTS["latin"]
-        local = "".join(first[r.below(16)] for _ in range(2 + attempt // 4)) + last[r.below(12)] + "." + r.digits(4 + attempt // 2)
-        return f"{local}@{first[r.below(16)]}{r.digits(2)}.example.org"
+    if kind == "email":  # as long, with the same marks and the same last label; longer where short ones are used up
+        local, _, domain = entity.partition("@")
+        labels, _, top = domain.rpartition(".")
+        return f"{r.like(local)}{r.like('x' * (attempt // 4))}@{r.like(labels)}.{top}"
     if kind == "secret":
-        prefix = next((p for p in ("akia", "ghp_", "sk-") if entity.startswith(p)), "")
-        letters = "0123456789abcdef" if not prefix else "0123456789abcdefghijklmnopqrstuvwxyz"
-        return prefix + "".join(letters[r.below(len(letters))] for _ in entity[len(prefix) :])
+        prefix = next((p for p in ("AKIA", "ghp_", "sk-") if entity.startswith(p)), "")
+        letters = "abcdef" if not prefix else "abcdefghijklmnopqrstuvwxyz"
+        return prefix + r.like(entity[len(prefix) :], letters)
+    if kind == "ipv6":
+        return "2001:0db8:" + ":".join(f"{r.below(1 << 16):04x}" for _ in range(6))
     if kind == "card":
         body = entity[0] + r.digits(len(entity) - 2)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
@@ -216,12 +241,17 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY, gender: st
 
 def render(kind: str, original: str, made: str) -> str:
     """The surrogate in the form of a mention: its separators, grouping and case."""
-    if kind in ("card", "phone", "iban"):
+    if kind == "phone":  # a code before the number stays
+        places = [i for i, c in enumerate(original) if c.isdigit()][-len(made) :]
+        return "".join(dict(zip(places, made, strict=True)).get(i, c) for i, c in enumerate(original))
+    if kind == "secret":
+        return made
+    if kind in ("card", "iban"):
         left = iter(made)
         return "".join(next(left, "") if c.isalnum() else c for c in original) + "".join(left)
     if kind == "given" and len(original) == 1:
         return made[0]
-    if kind in ("email", "secret", "name", "given") and original.upper() == original and any(c.isalpha() for c in original):
+    if kind in ("email", "name", "given") and original.upper() == original and any(c.isalpha() for c in original):
         return made.upper()
     return made if kind not in ("name", "given") or original != original.lower() else made.lower()
 
@@ -243,7 +273,7 @@ def _per_doc(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, kind string, entity string, gender string")
 
 
-def assign(entities: DataFrame, key: bytes = KEY, make: Callable = surrogate) -> DataFrame:
+def assign(entities: DataFrame, key: bytes, make: Callable = surrogate) -> DataFrame:
     """(kind, entity, gender, attempt, made) of distinct entities: no two of a kind share a surrogate, and none is an entity of the corpus.
 
     Where several entities have the same surrogate, the one of least hash keeps it and the others try
@@ -277,11 +307,12 @@ def assign(entities: DataFrame, key: bytes = KEY, make: Callable = surrogate) ->
     raise RuntimeError("surrogates of some kind are used up")
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with each entity of the texts replaced, then n_entities (int) and kinds (array of names, sorted).
 
-    Detected kinds: e-mail, secret, IBAN, card (with check digit), SSN, IPv4, phone,
-    and names: those after a title, and all mentions of their parts in the same text. All
+    Detected kinds: e-mail, secret, IBAN, card (with check digit), SSN, IPv4, IPv6, phone,
+    and names: those after a title or with a listed given name, and all mentions of their
+    parts in the same text. `key` is the caller's secret: who has it can find originals by trying. All
     mentions of an entity over the corpus get one surrogate, different entities different
     ones; family and given names are entities of their own (given names told apart by gender
     too). Null text stays null; texts without entities stay as they are; repeated
@@ -327,4 +358,4 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return replace(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(KEY_SETTING, OPEN_KEY).encode())

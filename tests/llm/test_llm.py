@@ -40,7 +40,7 @@ def operators(spark):
     some = spark.createDataFrame([(4, 1, 0), (2, 0, 0), (None, None, None)], LABELS)
     path = tokens.default_tokenizer()
     return {
-        "pii": pii.replace, "mixing": mixing.mix, "licenses": licenses.scan, "setjoin": setjoin.join, "one_of_each": setjoin.one_of_each,
+        "pii": lambda d: pii.replace(d, b"k"), "mixing": mixing.mix, "licenses": licenses.scan, "setjoin": setjoin.join, "one_of_each": setjoin.one_of_each,
         "report": lambda d: decontaminate.report(d, bench), "spans": lambda d: decontaminate.remove(d, bench, "spans"),
         "tokens": lambda d: tokens.read(spark, tokens.write(d, path)), "score": lambda d: quality.score(d, some), "keep": lambda d: quality.keep_good(d, some), "passages": passages.find,
     }
@@ -159,7 +159,7 @@ def test_chat_round_trip(spark):
 
 def test_surrogates(spark):
     a, b = "Mail ann.lee@x.com or +1 (212) 555-0199.", "ANN.LEE@X.COM; card 4539 1488 0343 6467, ip 10.1.2.3, v 999.1.1.1, no 1234567890123456"
-    out = {r["doc_id"]: r for r in pii.replace(docs(spark, [a, b, "clean 12 text"], False)).collect()}
+    out = {r["doc_id"]: r for r in pii.replace(docs(spark, [a, b, "clean 12 text"], False), b"k").collect()}
     made = re.search(r"\S+@\S+", out[0]["text"])[0]
     assert "ann.lee" not in out[0]["text"] and "555-0199" not in out[0]["text"] and made.upper() in out[1]["text"].replace(";", "")
     card = re.search(r"card ([\d ]+),", out[1]["text"])[1]
@@ -169,9 +169,9 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("k", str(i), "") for i in range(40)], "kind string, entity string, gender string")
-    held = pii.assign(entities, make=lambda k, e, a, key, g: "x" + str(hash((int(e) * 7919 + a * 104729) % 60)))
+    held = pii.assign(entities, b"k", make=lambda k, e, a, key, g: "x" + str(hash((int(e) * 7919 + a * 104729) % 60)))
     assert held.count() == held.select("made").distinct().count() == 40
-    assert pii.gender_of("Anna Berg", "") == "f" and pii.gender_of("Bo Berg", "Mr") == "m" and pii.script_of(pii.surrogate("name", "иван ин", 0, gender="m")) == "cyrillic"
+    assert pii.gender_of("Anna Berg", "") == "f" and pii.gender_of("Bo Berg", "Mr") == "m" and pii.script_of(pii.surrogate("name", "иван ин", 0, b"k", gender="m")) == "cyrillic"
 
 
 def test_licences(spark):
@@ -268,7 +268,7 @@ def test_surrogates_of_names_keep_coreference(spark):
         "Dr Anna Maria Lopez and Mr Jean-Luc Picard saw Mr J. Smith. Lopez spoke, Anna too; Picard did not.",
         "Herr Jan van der Berg came.\nBerg left. Smith is no person here.",
     ]
-    rows = {r["doc_id"]: r for r in pii.replace(docs(spark, texts, False)).collect()}
+    rows = {r["doc_id"]: r for r in pii.replace(docs(spark, texts, False), b"k").collect()}
     out = [rows[i]["text"] for i in range(3)]
     clear = ["Smith", "John", "SMITH", "Lopez", "Anna", "Maria", "Jean", "Luc", "Picard", "Jan", "Berg"]
     assert not [w for w in clear if re.search(rf"\b{w}\b", out[0] + out[1] + out[2].split("left")[0])] and out[2].endswith("left. Smith is no person here.")
@@ -343,3 +343,34 @@ def test_exact_passages_against_brute_force(spark):
         seen |= runs
     assert len(want) > 5
     assert not want - {r["doc_id"] for r in passages.find(docs(spark, texts), hot_least=5).collect()}
+
+
+def test_surrogates_against_plain_checks(spark):
+    """Distinctness, coreference and form of all replaced mentions, held against the mentions found before."""
+    r = random.Random(21)
+    given, family = ["Anna", "Peter", "Ingrid", "Oleg"], ["Berg", "O'Brien", "Smith-Jones", "D'Arcy", "Kim"]
+    person = lambda: f"{r.choice(['Mrs', 'Mr', 'Dr'])} {r.choice(given)} {r.choice(family)}"
+    mail = lambda: f"{r.choice('abcdef')}{r.randint(0, 20)}.x@{r.choice(['one.com', 'two.co.uk'])}"
+    phone = lambda n: r.choice([f"+1 (212) 555-{n:04d}", f"(212) 555-{n:04d}", f"212-555-{n:04d}"])
+    secret = lambda: "sk-" + "".join(r.choice("aAbB1") for _ in range(24))
+    texts = [f"{person()} wrote to {mail()} from 2001:db8::{r.randint(1, 9)}, called {phone(r.randint(0, 9))} and used {secret()}. Único Sr único." for _ in range(150)]
+    rows = {x["doc_id"]: x["text"] for x in pii.replace(docs(spark, texts, False), b"k").collect()}
+    made: dict = {}
+    for i, t in enumerate(texts):
+        before, after = re.split(r"[\s,]+", t), re.split(r"[\s,]+", rows[i])
+        assert len(before) == len(after) and after[-3:] == before[-3:]
+        for b, a in zip(before, after):
+            if "@" in b or b.startswith("sk-"):
+                made.setdefault(("token", b), set()).add(a)
+                assert a != b and len(a) == len(b) and [c.isdigit() for c in a] == [c.isdigit() for c in b] and [c.isupper() for c in a] == [c.isupper() for c in b]
+        made.setdefault(("phone", re.sub(r"\D", "", t[t.index("called") : t.index(" and used")])[-10:]), set()).add(re.sub(r"\D", "", rows[i][rows[i].index("called") : rows[i].index(" and used")])[-10:])
+        for part in before[1:3]:
+            assert part not in rows[i]
+        made.setdefault(("family", before[2]), set()).add(after[2])
+    found = {k: v for k, v in made.items() if k[0] in ("token", "phone", "family")}
+    assert all(len(v) == 1 for v in found.values())  # one surrogate each
+    for kind in ("token", "phone", "family"):
+        each = [next(iter(v)) for k, v in found.items() if k[0] == kind]
+        assert len(set(each)) == len(each) and not {x.lower() for x in each} & {k[1].lower() for k in found}
+    assert pii.replace(docs(spark, ["Anna Berg left. Victor Hugo wrote."], False), b"k").first()["n_entities"] == 2
+    assert pii.replace(docs(spark, texts[:1], False), b"other").first()["text"] != rows[0]
