@@ -16,7 +16,9 @@ TRAIN_ROWS = 20_000
 #: Sites whose rates are sent to all tasks as a literal table; more are joined by key.
 BROADCAST_SITES = 10_000
 THRESHOLD = 0.5
-FEATURES = ["upper", "digit", "space", "other", "pipe", "hash", "dollar", "percent", "amp", "star", "bang", "comma_stop", "quote", "word_length", "line_length", "distinct", "log_words"]
+#: Buckets of hashed words: shares of a text's words, by square root.
+BUCKETS = 64
+FEATURES = ["upper", "digit", "space", "other", "pipe", "hash", "dollar", "percent", "amp", "star", "bang", "comma_stop", "quote", "word_length", "line_length", "distinct", "log_words", *[f"word_{i}" for i in range(BUCKETS)]]
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = 13
 _CLASS[0x80:] = 13
@@ -28,7 +30,7 @@ for _i, _chars in enumerate(("|", "#", "$", "%", "&", "*", "!", ",.", "\"'`")):
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """One row of FEATURES for each text: shares of character classes, word and line lengths, variety, size. Empty: zeros."""
+    """One row of FEATURES for each text: shares of character classes, word and line lengths, variety, size, hashed words. Empty: zeros."""
     data, offsets = texts_of(column)
     out, a, n = [np.zeros((0, len(FEATURES)))], 0, len(offsets) - 1
     while a < n:
@@ -46,7 +48,8 @@ def features(column: pa.Array) -> np.ndarray:
         fresh[1:] = (w.hash[order][1:] != w.hash[order][:-1]) | (wrow[order][1:] != wrow[order][:-1])
         distinct = np.bincount(wrow[order][fresh], minlength=b - a)
         one = np.maximum(words, 1)
-        x = np.column_stack([counts / np.maximum(size, 1)[:, None], np.minimum(size / one, 30) / 10, np.log1p(size / lines) / 5, distinct / np.sqrt(one) / 10, np.log1p(words) / 10])
+        hashed = np.bincount(wrow * BUCKETS + (w.hash >> np.uint64(58)).astype(np.int64), minlength=(b - a) * BUCKETS).reshape(-1, BUCKETS)
+        x = np.column_stack([counts / np.maximum(size, 1)[:, None], np.minimum(size / one, 30) / 10, np.log1p(size / lines) / 5, distinct / np.sqrt(one) / 10, np.log1p(words) / 10, np.sqrt(hashed / one[:, None])])
         x[size == 0] = 0
         out.append(x)
         a = b
@@ -79,22 +82,32 @@ def evidence(x: np.ndarray, model) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """The document classifier, from at most `rows` labelled documents: those whose doc_id has the least hash."""
+    """The document classifier, from at most `rows` labelled ids: those of the least hash. Of clashing labels of an id the lower counts."""
     bounded(docs)
-    known = labels.where("quality is not null").select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("label")).dropDuplicates(["label_id"])
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").cast("double").alias("label"))
     least = known.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(least), F.col("doc_id") == F.col("label_id"))  # at most `rows` rows
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(features(batch.column(0))), pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(batch.column(1))), pa.list_(pa.float64())), batch.column(2)], names=["label_id", "x", "label"])
 
-    # Repeated documents of a labelled id are cut to the same bound.
-    found = texts.select("text", "label").mapInArrow(rows_of, "x array<double>, label double").limit(2 * rows).toPandas()
+    # Repeated documents of a labelled id are cut to the same bound, in an order of their own.
+    found = texts.select("label_id", "text", "label").mapInArrow(rows_of, "label_id long, x array<double>, label double").orderBy(F.xxhash64("label_id"), "label_id", "x").limit(2 * rows).toPandas()
     x = np.array(found["x"].tolist()).reshape(-1, len(FEATURES))
     return fit(x, found["label"].to_numpy(float))
 
 
+def url_host(url: Column) -> Column:
+    """The host of a URL, in small letters; null where there is none. For tables with URLs, as the host of `score`."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def url_path(url: Column) -> Column:
+    """The first part of a URL's path, as the path of `score`."""
+    return F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "^/([^/]*)", 1)
+
+
 def slim_scores(docs: DataFrame, model, host: Column, path: Column) -> DataFrame:
     """(doc_id, host, path, llr), without the texts."""
 
@@ -123,64 +136,75 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return float(np.clip(rate * (1 - rate) / max(spread, 1e-9) - 1, 1.0, 1e6))
 
 
-def site_rates(scores: DataFrame, model) -> tuple[DataFrame, float, tuple[float, float]]:
-    """(host, path, n, site_rate) of all sites; the global rate; the strengths of the host and path priors.
+def own_rate(model) -> Column:
+    """A document's probability by its evidence and the labels' rate alone."""
+    return 1 / (1 + F.exp(-(F.col("llr") + F.lit(float(model[3])))))
+
+
+def site_sums(scores: DataFrame, model) -> tuple[DataFrame, float, tuple[float, float]]:
+    """(host, path, site_n, site_s, host_n, host_s) of all sites; the global rate; the strengths of the host and path priors.
 
-    Sums of document posteriors are grouped by host and path with map-side
-    combine. A host's rate is shrunk toward the global one, a path's toward its
-    host's, by strengths found from all groups, so sparse sites lean on their parent.
+    Sums of document probabilities are grouped by host and path with map-side
+    combine; the strengths come from all groups.
     """
-    p = 1 / (1 + F.exp(-(F.col("llr") + F.lit(model[3]))))
+    p = own_rate(model)
     paths = saved(scores.withColumn("p", p).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "site-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
     rate = float(min(max((s or 0.0) / n, 1e-6), 1 - 1e-6)) if n else 0.5
     k_host = _strength(hosts, F.lit(rate))
-    host_rate = hosts.select(F.col("host").alias("parent"), ((F.col("s") + k_host * rate) / (F.col("n") + k_host)).alias("host_rate"))
+    parents = hosts.select(F.col("host").alias("parent"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + k_host * rate) / (F.col("n") + k_host)).alias("host_rate"))
     # Groups, not documents, meet their hosts here.
-    with_host = paths.join(host_rate, F.col("host").eqNullSafe(F.col("parent"))).drop("parent")
+    with_host = paths.join(parents, F.col("host").eqNullSafe(F.col("parent"))).drop("parent")
     k_path = _strength(with_host, F.col("host_rate"))
-    site = (F.col("s") + k_path * F.col("host_rate")) / (F.col("n") + k_path)
-    return with_host.select("host", "path", "n", F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6)).alias("site_rate")), rate, (k_host, k_path)
+    return with_host.select("host", "path", F.col("n").alias("site_n"), F.col("s").alias("site_s"), "host_n", "host_s"), rate, (k_host, k_path)
 
 
-def _with_sites(rows: DataFrame, sites: DataFrame, host: Column, path: Column) -> DataFrame:
-    """rows with site_rate; broadcast below a checked number of sites, else joined by key, which AQE splits where a site is hot."""
-    sites = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "site_rate")
+def _judged(rows: DataFrame, scores: DataFrame, model, host: Column, path: Column) -> DataFrame:
+    """rows(llr) with site_rate and p_quality.
+
+    A host's rate is shrunk toward the global one, a path's toward its host's, so
+    sparse sites lean on their parent. A document's own probability is left out of
+    both sums before they judge it. Sites are broadcast below a checked number,
+    else joined by key, which AQE splits where a site is hot.
+    """
+    sites, rate, (k_host, k_path) = site_sums(scores, model)
+    sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
     first = sites.limit(BROADCAST_SITES + 1).collect()
     if len(first) <= BROADCAST_SITES:
         sites = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in first], sites.schema))
-    return rows.join(sites, host.eqNullSafe(F.col("site_host")) & path.eqNullSafe(F.col("site_path")), "left").drop("site_host", "site_path")
-
+    joined = rows.join(sites, host.eqNullSafe(F.col("site_host")) & path.eqNullSafe(F.col("site_path")), "left")
+    p = own_rate(model)
+    of_host = (F.col("host_s") - p + k_host * rate) / (F.col("host_n") - 1 + k_host)
+    of_site = (F.col("site_s") - p + k_path * of_host) / (F.col("site_n") - 1 + k_path)
+    judged = joined.withColumn("site_rate", F.least(F.greatest(of_site, F.lit(1e-6)), F.lit(1 - 1e-6))).drop(*sites.columns)
+    return judged.withColumn("p_quality", 1 / (1 + F.exp(-(F.col("llr") + F.log(F.col("site_rate") / (1 - F.col("site_rate")))))))
 
-def _posterior() -> Column:
-    return 1 / (1 + F.exp(-(F.col("llr") + F.log(F.col("site_rate") / (1 - F.col("site_rate"))))))
 
-
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column = "lang", threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: doc_id, host, path, llr, site_rate, p_quality, keep.
 
-    A null host or path is a site like any other. Null and empty texts have all-zero
+    host and path are columns of docs, such as `url_host` and `url_path` of a URL. A null
+    host or path is a site like any other. Null and empty texts have all-zero
     features and are judged by them; repeated rows are scored alike. Without labels
     of both kinds there is no document evidence and sites keep the labels' rate. An
     empty table gives an empty result. Other columns are ignored.
     """
     model = train(docs, labels, rows)
-    scores = saved(slim_scores(docs, model, F.col(host), F.col(path)), "quality-scores")
-    sites, _, _ = site_rates(scores, model)
-    out = _with_sites(scores, sites, F.col("host"), F.col("path")).withColumn("p_quality", _posterior())
-    return out.withColumn("keep", F.col("p_quality") >= threshold)
+    host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
+    scores = saved(slim_scores(docs, model, host, path), "quality-scores")
+    return _judged(scores, scores, model, F.col("host"), F.col("path")).withColumn("keep", F.col("p_quality") >= threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
     """docs without the documents that `score` rejects; columns and other rows stay as they are.
 
-    The texts are scanned once more with the fitted rates at hand, so that no text is shuffled
-    (beyond BROADCAST_SITES sites, texts are joined with their site's rate by key).
+    Nulls, empty texts, repeated rows, missing labels and empty tables are as in `score`;
+    columns of any other name go along. The texts are scanned once more with the fitted
+    rates at hand, so that no text is shuffled (beyond BROADCAST_SITES sites, texts are joined with their site's sums by key).
     """
     model = train(docs, labels, rows)
     scores = saved(slim_scores(docs, model, F.col(host), F.col(path)), "quality-scores")
-    sites, _, _ = site_rates(scores, model)
     named = docs.withColumnsRenamed({c: f"__docs_{c}" for c in docs.columns})
     where = docs.columns.index("text")
     schema = T.StructType([*named.schema.fields, T.StructField("llr", T.DoubleType())])
@@ -190,8 +214,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
             llr = pa.array(evidence(features(batch.column(where)), model), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, llr], names=[*batch.schema.names, "llr"])
 
-    judged = _with_sites(named.mapInArrow(add, schema), sites, F.col(f"__docs_{host}").cast("string"), F.col(f"__docs_{path}").cast("string"))
-    return judged.where(_posterior() >= threshold).select(*[F.col(f"__docs_{c}").alias(c) for c in docs.columns])
+    judged = _judged(named.mapInArrow(add, schema), scores, model, F.col(f"__docs_{host}").cast("string"), F.col(f"__docs_{path}").cast("string"))
+    return judged.where(F.col("p_quality") >= threshold).select(*[F.col(f"__docs_{c}").alias(c) for c in docs.columns])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,9 +175,21 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_licences(spark):
-    text = "first line\nReleased under the MIT licence.\nreleased UNDER the mit license\nLicensed under CC BY-NC 4.0."
-    got = {(r["line_no"], r["license"]) for r in licenses.scan(docs(spark, [text, "nothing here"])).collect()}
-    assert got == {(3, "MIT"), (4, "CC-BY-NC-4.0")}
+    wrapped = lambda t, n: "\n".join(" * " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    whole = licenses.TEMPLATES["MIT"][-1]
+    gpl = licenses.TEMPLATES["GPL-3.0"][-1]
+    texts = [
+        "first line\nReleased under the MIT licence.\nreleased UNDER the mit license\nLicensed under CC BY-NC 4.0.",
+        "nothing here",
+        "The code in this folder is released under the MIT License. Other words follow it.",
+        f"/*\n{wrapped(whole, 9)}\n */\nint main() {{}}",
+        f"# x\n{wrapped(gpl, 7)}\n# y\n{prose(30, 1)}",
+        whole.replace("persons to whom", "those to whom").replace("copies", "copys"),
+        "the software, the license and any notice of it " * 20,
+    ]
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan(docs(spark, texts)).collect()}
+    assert set(got) == {(0, "MIT"), (0, "CC-BY-NC-4.0"), (2, "MIT"), (3, "MIT"), (4, "GPL-3.0"), (5, "MIT")}
+    assert got[3, "MIT"]["dice"] == 1 and got[3, "MIT"]["start_word"] == 0 and got[4, "GPL-3.0"]["start_word"] == 1
 
 
 def test_mixing_rates(spark):
@@ -374,3 +386,25 @@ def test_surrogates_against_plain_checks(spark):
         assert len(set(each)) == len(each) and not {x.lower() for x in each} & {k[1].lower() for k in found}
     assert pii.replace(docs(spark, ["Anna Berg left. Victor Hugo wrote."], False), b"k").first()["n_entities"] == 2
     assert pii.replace(docs(spark, texts[:1], False), b"other").first()["text"] != rows[0]
+
+
+def test_quality_against_a_plain_version(spark):
+    texts = [prose(rng.randint(5, 60), 4000 + i) if i % 3 else " ".join(w + "###" for w in prose(40, 4000 + i).split()) for i in range(90)]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 7}", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    known = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 90, 2)] + [(2, 0, 0), (4, 1, 0)], LABELS)
+    got = {r["doc_id"]: r for r in quality.score(df, known).collect()}
+    model = quality.train(df, known)
+    llr = quality.evidence(quality.features(pa.array(texts)), model)
+    p = 1 / (1 + np.exp(-(llr + model[3])))
+    scores = spark.createDataFrame([(i, r[3], r[2], float(llr[i])) for i, r in enumerate(rows)], "doc_id long, host string, path string, llr double")
+    _, rate, (k_host, k_path) = quality.site_sums(scores, model)
+    for i, r in enumerate(rows):
+        host = [j for j, o in enumerate(rows) if o[3] == r[3] and j != i]
+        site = [j for j in host if rows[j][2] == r[2]]
+        above = (p[host].sum() + k_host * rate) / (len(host) + k_host)
+        own = min(max((p[site].sum() + k_path * above) / (len(site) + k_path), 1e-6), 1 - 1e-6)
+        want = 1 / (1 + np.exp(-(llr[i] + np.log(own / (1 - own)))))
+        assert abs(got[i]["p_quality"] - want) < 1e-9 and got[i]["keep"] == (want >= 0.5)
+    urls = spark.createDataFrame([("https://A.example.org/news/x?y=1",), ("no url",), (None,), ("http://b.org",)], "u string")
+    assert [tuple(r) for r in urls.select(quality.url_host(F.col("u")), quality.url_path(F.col("u"))).collect()] == [("a.example.org", "news"), (None, ""), (None, ""), ("b.org", "")]
