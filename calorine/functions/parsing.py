@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Texts that count as missing in free text, in numbers, and in the fields of an observation's hash.
 MISSING = ("", "nan", "none", "null", "nat", "<na>")
+MISSING_NUMBER = ("", "nan")
+MISSING_HASHED = ("", "nan", "none", "nat", "<na>")
 
 
 def require_columns(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
@@ -18,13 +21,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def clean_text(c: Column | str) -> Column:
+def clean_text(c: Column | str, missing: tuple[str, ...] = MISSING) -> Column:
     t = F.trim(col(c).cast("string"))
-    return F.when(~F.lower(t).isin(*MISSING), t)
+    return F.when(~F.lower(t).isin(*missing), t)
 
 
-def is_missing(c: Column | str) -> Column:
-    return clean_text(c).isNull()
+def is_missing(c: Column | str, missing: tuple[str, ...] = MISSING) -> Column:
+    return clean_text(c, missing).isNull()
 
 
 def to_double(c: Column | str) -> Column:
@@ -82,10 +85,9 @@ def acquired(date: Column | str, time: Column | str, pattern: str = "yyyy-MM-dd"
 
 
 def acquired_nrt(date: Column | str, time: Column | str) -> Column:
-    """Near-real-time form: digits padded to four; anything else counts as midnight."""
-    digits = F.lpad(F.trim(col(time)), 4, "0")
-    good = digits.rlike(r"^([01]\d|2[0-3])[0-5]\d$")
-    hhmm = F.when(good, digits).otherwise(F.lit("0000"))
+    """Near-real-time form: one to four digits are a time, NULL when there is no such time; anything else counts as midnight."""
+    text = F.trim(F.coalesce(col(time), F.lit("0")))
+    hhmm = F.when(text.rlike(r"^\d{1,4}$"), F.lpad(text, 4, "0")).otherwise(F.lit("0000"))
     return F.try_to_timestamp(F.concat(F.trim(col(date)), F.lit(" "), hhmm), F.lit("yyyy-MM-dd HHmm"))
 
 
@@ -112,11 +114,12 @@ def serialize_attributes(m: Column) -> Column:
 
 
 # ---------------------------------------------------------------- identities
+#: The fields of an observation's identity, in their order.
 OBSERVATION_FIELDS = ("latitude", "longitude", "bright_ti4", "scan", "track", "acq_date", "acq_time", "satellite", "instrument", "confidence", "version", "bright_ti5", "frp", "daynight", "type")
 
 
 def observation_hash(fields: tuple[str, ...] = OBSERVATION_FIELDS) -> Column:
-    lines = [F.concat(F.lit(f"{f}="), F.coalesce(clean_text(f), F.lit(""))) for f in fields]
+    lines = [F.concat(F.lit(f"{f}="), F.coalesce(clean_text(f, MISSING_HASHED), F.lit(""))) for f in fields]
     return F.sha2(F.concat_ws("\n", F.lit("hash_version=v1"), *lines), 256)
 
 

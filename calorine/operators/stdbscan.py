@@ -31,10 +31,14 @@ def neighbour_pairs(points: DataFrame, config: ClusterConfig = ClusterConfig())
     # Longitude cells follow the latitude band, each wide enough for its highest latitude and its neighbours'.
     band = F.floor(F.col("latitude") / cell).cast("long")
     width = lambda b: F.lit(cell) / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(b * cell), F.abs((b + 1) * cell)) + 2 * cell, F.lit(89.9)))), F.lit(1e-3))
+    # A band near a pole is one cell; the others are tiled by whole cells, so that the date line is a border like any other.
+    tiles = lambda b: F.greatest(F.lit(1), F.floor(F.lit(360.0) / width(b)).cast("long")) * F.when(F.greatest(F.abs(b * cell), F.abs((b + 1) * cell)) + 2 * cell >= 89.9, F.lit(0)).otherwise(F.lit(1))
+    place = lambda lon, b: F.when(tiles(b) > 0, F.pmod(F.floor((lon + 180) / 360 * tiles(b)).cast("long"), tiles(b))).otherwise(F.lit(0).cast("long"))
+    around = lambda lon, b: F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.when(tiles(b) > 0, F.pmod(place(lon, b) + i, tiles(b))).otherwise(F.lit(0).cast("long"))))
     base = points.select("det_id", "latitude", "longitude", "acq_datetime", band.alias("band"), F.floor(F.unix_micros("acq_datetime") / F.lit(config.eps_hours * 3.6e9)).cast("long").alias("bin"))
-    own = base.withColumn("cell", F.floor(F.col("longitude") / width(F.col("band"))).cast("long"))
+    own = base.withColumn("cell", place(F.col("longitude"), F.col("band")))
     near = base.withColumn("b", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.col("band") + i))).withColumn("t", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.col("bin") + i)))
-    near = near.withColumn("c", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("longitude") / width(F.col("b"))).cast("long") + i)))
+    near = near.withColumn("c", F.explode(around(F.col("longitude"), F.col("b"))))
     a = near.select(F.col("det_id").alias("a"), F.col("latitude").alias("la"), F.col("longitude").alias("oa"), F.col("acq_datetime").alias("ta"), F.col("b").alias("band"), F.col("c").alias("cell"), F.col("t").alias("bin"))
     b = own.select(F.col("det_id").alias("b"), F.col("latitude").alias("lb"), F.col("longitude").alias("ob"), F.col("acq_datetime").alias("tb"), "band", "cell", "bin")
     gap = F.abs(F.unix_micros("ta") - F.unix_micros("tb"))

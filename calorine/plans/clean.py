@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from calorine.functions.parsing import acquired, is_missing, normal_confidence, normal_daynight, require_columns, to_double
+from calorine.functions.parsing import MISSING_NUMBER, acquired, is_missing, normal_confidence, normal_daynight, require_columns, to_double
 
 RAW_COLUMNS = ("latitude", "longitude", "bright_ti4", "scan", "track", "acq_date", "acq_time", "satellite", "instrument", "confidence", "version", "bright_ti5", "frp", "daynight", "type")
 NUMERIC_COLUMNS = ("latitude", "longitude", "bright_ti4", "scan", "track", "bright_ti5", "frp", "version", "type")
@@ -31,16 +31,19 @@ def annotate(raw: DataFrame, pattern: str = "yyyy-MM-dd") -> DataFrame:
     `row_no` where given, else a hash of the row.
     """
     require_columns(raw, RAW_COLUMNS)
-    typed = raw.withColumns({c: to_double(c) for c in NUMERIC_COLUMNS} | {f"missing_{c}": is_missing(c) for c in NUMERIC_COLUMNS})
+    typed = raw.withColumns({c: to_double(c) for c in NUMERIC_COLUMNS} | {f"missing_{c}": is_missing(c, MISSING_NUMBER) for c in NUMERIC_COLUMNS})
     typed = typed.withColumns({"confidence": normal_confidence("confidence"), "daynight": normal_daynight("daynight"), "acq_datetime": acquired("acq_date", "acq_time", pattern)})
     typed = typed.withColumns({"coords_valid": F.coalesce(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180), F.lit(False)), "time_valid": F.col("acq_datetime").isNotNull(), "frp_valid": frp_valid(F.col("frp"))})
     order = "row_no" if "row_no" in raw.columns else F.xxhash64(*RAW_COLUMNS)
     return typed.withColumn("is_duplicate", F.row_number().over(Window.partitionBy(*RAW_COLUMNS).orderBy(order)) > 1)
 
 
-def clean(raw: DataFrame, pattern: str = "yyyy-MM-dd") -> DataFrame:
-    """Detections with valid place and time, without exact duplicates, and derived calendar columns."""
-    kept = annotate(raw, pattern).where("coords_valid and time_valid and not is_duplicate")
+def clean(raw: DataFrame, pattern: str | None = "yyyy-MM-dd") -> DataFrame:
+    """Detections with valid place and time, without exact duplicates, and derived calendar columns.
+
+    Without a pattern, the one that the dates fit is taken, by one pass over them.
+    """
+    kept = annotate(raw, pattern or detect_date_pattern(raw)).where("coords_valid and time_valid and not is_duplicate")
     t = F.col("acq_datetime")
     kept = kept.withColumns({"hour_utc": F.hour(t), "day_of_week": F.weekday(t), "month": F.month(t), "day_of_year": F.dayofyear(t)})
     return kept.drop(*[f"missing_{c}" for c in NUMERIC_COLUMNS], "coords_valid", "time_valid", "is_duplicate")

@@ -37,6 +37,7 @@ def classify(tags: Column, name: Column) -> tuple[Column, Column]:
 
 def normalize(raw: DataFrame) -> DataFrame:
     """raw(osm_id, osm_type, name, tags map, geometry_type, rings) as canonical facilities."""
+    raw = raw.withColumn("name", F.coalesce(F.col("name"), F.element_at("tags", "name")))
     kind, confidence = classify(F.col("tags"), F.col("name"))
     es = edges(F.col("rings"))
     x, y = centroid(es, F.col("geometry_type").isin("Polygon", "MultiPolygon"))

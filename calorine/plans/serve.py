@@ -14,7 +14,7 @@ def parse_bbox(text: str) -> tuple[float, float, float, float]:
     return tuple(parts)
 
 
-def filter_events(events: DataFrame, bbox: str | None = None, start: str | None = None, end: str | None = None, min_risk: float | None = None, max_risk: float | None = None, priorities: list[str] | None = None, is_active: bool | None = None, search: str | None = None, **equal) -> DataFrame:
+def filter_events(events: DataFrame, bbox: str | None = None, start: str | None = None, end: str | None = None, min_risk: float | None = None, max_risk: float | None = None, priorities: list[str] | None = None, is_active: bool | None = None, **equal) -> DataFrame:
     """Conjunction of the given filters; all are plain predicates that reach the scan."""
     for c, v in equal.items():
         if v is not None:
@@ -38,11 +38,12 @@ def filter_events(events: DataFrame, bbox: str | None = None, start: str | None
 
 
 def sort_columns(sort_by: str | None = None, order: str = "desc") -> list[Column]:
-    if sort_by is None:
-        return [F.desc_nulls_last("risk_score"), F.desc_nulls_last("event_start"), F.asc("event_id")]
-    if sort_by not in SORTS or order not in ("asc", "desc"):
+    """By risk_score unless another column is named; equal risks by latest start; event_id decides."""
+    by = sort_by or "risk_score"
+    if by not in SORTS or order not in ("asc", "desc"):
         raise ValueError(f"sort by one of {SORTS}, asc or desc")
-    return [F.desc_nulls_last(sort_by) if order == "desc" else F.asc_nulls_last(sort_by), F.asc("event_id")]
+    first = F.desc_nulls_last(by) if order == "desc" else F.asc_nulls_last(by)
+    return [first, *([F.desc_nulls_last("event_start")] if by == "risk_score" else []), F.asc("event_id")]
 
 
 def page(df: DataFrame, by: list[Column], number: int = 1, size: int = 50) -> DataFrame:

@@ -92,28 +92,102 @@ def class_metrics(rows: DataFrame, truth: str = "truth", predicted: str = "predi
     return out.select("label", "support", F.try_divide("tp", "claimed").alias("precision"), F.try_divide("tp", "support").alias("recall"), F.try_divide(2 * F.col("tp"), F.col("claimed") + F.col("support")).alias("f1"))
 
 
+def class_averages(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """One row: macro precision, recall and f1 over classes that occur, f1 weighted by support, rows."""
+    c = class_metrics(rows, truth, predicted).where("support > 0")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
+    return c.agg(F.avg(zero("precision")).alias("macro_precision"), F.avg(zero("recall")).alias("macro_recall"), F.avg(zero("f1")).alias("macro_f1"), F.try_divide(F.sum(zero("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"), F.sum("support").alias("sample_count"))
+
+
 def thresholds(rows: DataFrame, floors: tuple[int, ...] = (0, 4, 6, 8, 10), score: str = "industrial_evidence_score", truth: str = "truth") -> DataFrame:
     """binary_metrics of score >= floor for each floor, in one pass over rows."""
     each = rows.withColumn("floor", F.explode(F.array(*[F.lit(f) for f in floors])))
     return binary_metrics(each.withColumn("predicted", F.when(F.col(score) >= F.col("floor"), "INDUSTRIAL").otherwise("NON_INDUSTRIAL")), truth, "predicted", ["floor"])
 
 
+#: Families that each variant adds to the infrastructure score.
+VARIANTS = {
+    "infrastructure_only": (),
+    "infrastructure_plus_temporal": ("temporal",),
+    "infrastructure_plus_history": ("history",),
+    "infrastructure_plus_anomaly": ("anomaly",),
+    "infrastructure_plus_temporal_history_anomaly": ("temporal", "history", "anomaly"),
+}
+FULL = "full_available_i7"
+
+
+def evaluable(rows: DataFrame) -> DataFrame:
+    """Matches to one event by references from an independent source."""
+    return rows.where((F.col("match_status") == "MATCHED") & F.coalesce(F.col("independent"), F.lit(False)))
+
+
+def gated_candidate(method: Column, infrastructure: Column, temporal: Column, history: Column, anomaly: Column) -> Column:
+    """The interpretation by facility, persistence, history and anomaly alone; the last two count only where there is a facility."""
+    backing = temporal + F.when(infrastructure > 0, F.least(history, F.lit(2)) + F.least(anomaly, F.lit(2))).otherwise(0)
+    possible = ((infrastructure >= 2) & (backing >= 1)) | ((infrastructure >= 1) & (backing >= 2))
+    return F.when(method == "AMBIGUOUS", "AMBIGUOUS_EVIDENCE").when(infrastructure >= 3, "INDUSTRIAL_ACTIVITY_CANDIDATE").when(possible, "POSSIBLE_INDUSTRIAL_ACTIVITY").otherwise("INSUFFICIENT_EVIDENCE")
+
+
 def ablation(rows: DataFrame, truth: str = "truth") -> DataFrame:
-    """Metrics with one family's score switched off at a time, and with all."""
-    parts = {"infrastructure": 2 * F.col("infrastructure_score"), "temporal": F.col("temporal_score"), "historical": F.least("historical_score", F.lit(2)), "anomaly": F.col("anomaly_support_score"), "sta": F.col("sta_score")}
-    variants = F.array(*[F.struct(F.lit(name).alias("variant"), sum((v for k, v in parts.items() if k != name), F.lit(0)).alias("total")) for name in ("full", *parts)])
-    each = rows.withColumn("v", F.explode(variants)).select(truth, "v.variant", F.when(F.col("v.total") >= 6, "INDUSTRIAL").otherwise("NON_INDUSTRIAL").alias("predicted"))
+    """binary_metrics of the candidates that subsets of the families give, and of the candidate at hand, over evaluable rows."""
+    zero = F.lit(0)
+    scores = {"temporal": F.col("temporal_score"), "history": F.col("historical_score"), "anomaly": F.col("anomaly_support_score")}
+    made = [F.struct(F.lit(name).alias("variant"), gated_candidate(F.col("facility_association_method"), F.col("infrastructure_score"), *[scores[f] if f in families else zero for f in scores]).alias("candidate")) for name, families in VARIANTS.items()]
+    made.append(F.struct(F.lit(FULL).alias("variant"), F.col("candidate_interpretation").alias("candidate")))
+    each = evaluable(rows).withColumn("v", F.explode(F.array(*made))).select(truth, "v.variant", to_binary(F.col("v.candidate")).alias("predicted"))
     return binary_metrics(each, truth, "predicted", ["variant"])
 
 
+#: The kinds of disagreement.
+ERRORS = ("FALSE_INDUSTRIAL", "MISSED_INDUSTRIAL", "FALSE_NON_INDUSTRIAL", "ABSTENTION_ON_INDUSTRIAL", "ABSTENTION_ON_NON_INDUSTRIAL", "AMBIGUOUS_OR_UNKNOWN_LABEL", "MULTIPLE_POSSIBLE_MATCHES")
+
+
 def errors(rows: DataFrame, examples: int = 5) -> DataFrame:
-    """(category, n, example ids): the kinds of agreement and disagreement, each with its first ids."""
-    t, p = F.col("truth"), F.col("predicted")
-    kind = F.when(p.isNull(), F.when(t == "INDUSTRIAL", "ABSTAINED_INDUSTRIAL").otherwise("ABSTAINED_OTHER")).when((t == "INDUSTRIAL") & (p == "INDUSTRIAL"), "TRUE_POSITIVE").when(t == "INDUSTRIAL", "FALSE_NEGATIVE").when(p == "INDUSTRIAL", "FALSE_POSITIVE").otherwise("TRUE_NEGATIVE")
-    w = Window.partitionBy("category").orderBy("event_id")
-    each = rows.withColumn("category", kind)
-    first = each.withColumn("k", F.row_number().over(w)).where(F.col("k") <= examples).groupBy("category").agg(F.array_sort(F.collect_list("event_id")).alias("examples"))
-    return each.groupBy("category").agg(F.count(F.lit(1)).alias("n")).join(first, "category")
+    """(category, n, examples): kinds of disagreement over evaluable rows, each with its first validation_id:event_id, and references with several matches.
+
+    All kinds come out, those without a case with n = 0.
+    """
+    t, p = F.col("truth"), to_binary(F.col("candidate_interpretation"))
+    kind = F.when(t.isin("AMBIGUOUS", "UNKNOWN"), "AMBIGUOUS_OR_UNKNOWN_LABEL").when(p.isNull(), F.when(t == "INDUSTRIAL", "ABSTENTION_ON_INDUSTRIAL").otherwise("ABSTENTION_ON_NON_INDUSTRIAL"))
+    kind = kind.when((t == "INDUSTRIAL") & (p != "INDUSTRIAL"), "MISSED_INDUSTRIAL").when((t != "INDUSTRIAL") & (p == "INDUSTRIAL"), "FALSE_INDUSTRIAL")
+    own = evaluable(rows).select(kind.alias("category"), F.concat_ws(":", F.col("validation_id").cast("string"), F.col("event_id").cast("string")).alias("key"))
+    several = rows.where(F.col("match_status") == "MULTIPLE_POSSIBLE_MATCHES").select(F.lit("MULTIPLE_POSSIBLE_MATCHES").alias("category"), F.col("validation_id").cast("string").alias("key"))
+    each = own.where("category is not null").union(several)
+    first = each.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy("key"))).where(F.col("k") <= examples).groupBy("category").agg(F.array_sort(F.collect_list("key")).alias("examples"))
+    counts = each.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    kinds = rows.sparkSession.createDataFrame([(k,) for k in ERRORS], "category string")
+    none = F.array().cast("array<string>")
+    return kinds.join(counts, "category", "left").join(first, "category", "left").select("category", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("examples", none).alias("examples"))
+
+
+def strength_precision(rows: DataFrame, truth: str = "truth") -> DataFrame:
+    """By evidence_strength: what is predicted industrial, how much of it is, and all rows that do not abstain.
+
+    A description only: the scores are ordinal and no probability is fitted to them.
+    """
+    p = to_binary(F.col("candidate_interpretation"))
+    kept = rows.withColumns({"p": p, "strength": F.coalesce(F.nullif("evidence_strength", F.lit("")), F.lit("UNKNOWN"))}).where("p is not null")
+    yes = F.col("p") == "INDUSTRIAL"
+    out = kept.groupBy("strength").agg(F.count_if(yes).alias("predicted_industrial_count"), F.count_if(yes & (F.col(truth) == "INDUSTRIAL")).alias("tp"), F.count(F.lit(1)).alias("sample_count"))
+    return out.select("strength", "predicted_industrial_count", F.try_divide("tp", "predicted_industrial_count").alias("precision"), "sample_count")
+
+
+METRICS = ("precision", "recall", "f1", "specificity", "balanced_accuracy", "accuracy", "ppv", "npv", "confusion_matrix")
+
+
+def not_evaluated(reason: str) -> dict:
+    """The block that stands for metrics of nothing: no number is made up."""
+    return {"metric_status": "NOT_EVALUATED", "reason": reason, **dict.fromkeys(METRICS), "sample_count": 0}
+
+
+def report(rows: DataFrame, truth: str = "truth") -> dict:
+    """All metrics of matched references as one dictionary, or the block for none."""
+    good = evaluable(rows)
+    if good.isEmpty():
+        return not_evaluated("No independent MATCHED records.")
+    judged = good.withColumn("predicted", to_binary(F.col("candidate_interpretation")))
+    plain = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  (a few rows each)
+    return {"metric_status": "EVALUATED", "binary": plain(binary_metrics(judged, truth))[0], "ablation": plain(ablation(rows, truth)), "errors": plain(errors(rows)), "strength": plain(strength_precision(good, truth))}
 
 
 def audit(references: DataFrame) -> DataFrame:

@@ -99,20 +99,29 @@ def observations_of(rows: DataFrame) -> DataFrame:
 
 
 def advance(active: DataFrame, observations: DataFrame, next_number: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(states after the batch, actions): the fold, run per spatial component of active events and observations.
-
-    Components link places within REACH_KM at any time; within one, order matters and a
-    task folds it alone. Stale events are closed by the batch's own clock afterwards,
-    for any observation closes events everywhere. New events are numbered by (time,
+    """(states after the batch, actions): the fold, run per component of active events and observations.
+
+    Components link places within REACH_KM whose times differ by at most twice
+    EPS_HOURS: two observations that one event takes in turn each lie within
+    EPS_HOURS of its last detection. Within a component order matters and a task
+    folds it alone. Any observation closes events everywhere: the batch's first one
+    those that are further than EPS_HOURS from it, before or after, and its last one those
+    that end before. Closed events take no part and go through as they are. New events are numbered by (time,
     hash) of the observation that starts them, over the whole batch.
     """
     from calorine.functions.session import saved
 
+    valid = F.coalesce(F.col("acq_datetime").isNotNull() & F.col("event_id").isNull() & F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180), F.lit(False))
     o = saved(observations.withColumn("node", F.xxhash64(F.lit("o"), "observation_hash")), "nrt-observations")
+    clock = o.where(valid).agg(F.min("acq_datetime"), F.max("acq_datetime")).first()
+    reach = int(EPS_HOURS * 3.6e9)
+    if clock[0] is not None:
+        far = F.abs(F.unix_micros(F.lit(clock[0])) - F.unix_micros("last_detection_at")) > reach
+        active = active.withColumn("is_active", F.col("is_active") & ~far)
     a = saved(active.withColumn("node", F.xxhash64(F.lit("e"), "event_id")), "nrt-active")
-    epoch = F.lit("2000-01-01").cast("timestamp")
-    places = o.select("node", "latitude", "longitude").union(a.select("node", F.col("centroid_latitude"), F.col("centroid_longitude"))).where("latitude is not null and longitude is not null")
-    pairs = neighbour_pairs(places.select(F.col("node").alias("det_id"), "latitude", "longitude", epoch.alias("acq_datetime")), ClusterConfig(REACH_KM, 1.0, 2))
+    closed, a = a.where("not is_active").select(*_FIELDS), a.where("is_active")
+    places = o.where(valid).select("node", "latitude", "longitude", "acq_datetime").union(a.select("node", "centroid_latitude", "centroid_longitude", "last_detection_at"))
+    pairs = neighbour_pairs(places.withColumnRenamed("node", "det_id"), ClusterConfig(REACH_KM, 2 * EPS_HOURS, 2))
     parts = connected_components(pairs.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     group = lambda df: df.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component", "node")
     left, right = group(o), group(a)
@@ -121,17 +130,17 @@ def advance(active: DataFrame, observations: DataFrame, next_number: int = 1) ->
         plain = lambda df: [{k: None if v is pd.NaT or (isinstance(v, float) and v != v) else v for k, v in r.items()} for r in df.to_dict("records")]
         states, actions = fold([{k: r[k] for k in _FIELDS} for r in plain(events)], plain(obs), lambda x: "new:" + x["observation_hash"])
         rows = [{**s, "kind": "state"} for s in states] + [{"kind": "action", "observation_hash": h, "event_id": e, "action": w} for h, e, w in actions]
-        return pd.DataFrame(rows, columns=["kind", "observation_hash", "action", *_FIELDS])
+        return pd.DataFrame(rows, columns=["kind", "observation_hash", "action", *_FIELDS], dtype=object)
 
     made = saved(left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(run, f"kind string, observation_hash string, action string, {STATE}"), "nrt-fold")
     created = made.where("action = 'created'").select("observation_hash", "event_id").join(o.select("observation_hash", "acq_datetime"), "observation_hash")
     numbers = with_rank(created, ["acq_datetime", "observation_hash"], "k").select("event_id", F.format_string("EVT_%07d", F.col("k") + (next_number - 1)).alias("number"))
     named = made.join(numbers, "event_id", "left").withColumn("event_id", F.coalesce("number", "event_id")).drop("number")
-    clock = o.agg(F.min("acq_datetime"), F.max("acq_datetime")).first()
     states = named.where("kind = 'state'").select(*_FIELDS)
     if clock[1] is not None:
-        late = (F.unix_micros(F.lit(clock[1])) - F.unix_micros("last_detection_at")) > int(EPS_HOURS * 3.6e9)
+        late = (F.unix_micros(F.lit(clock[1])) - F.unix_micros("last_detection_at")) > reach
         states = states.withColumn("is_active", F.col("is_active") & ~late)
+    states = states.union(closed)
     return states, named.where("kind = 'action'").select("observation_hash", "event_id", "action")
 
 

@@ -129,3 +129,115 @@ def test_stream(spark, tmp_path):
     nrt.run_stream(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "obs"), str(tmp_path / "cp")).awaitTermination()
     r = spark.read.parquet(str(tmp_path / "state/batch=0")).collect()
     assert len(r) == 1 and r[0]["detection_count"] == 2 and r[0]["event_id"] == "EVT_0000001"
+
+
+def observations(spark, rows):
+    data = [(f"h{i:04d}", float(a), float(b), BASE + timedelta(hours=h), 2.0, "D", None) for i, (a, b, h) in enumerate(rows)]
+    return spark.createDataFrame(data, "observation_hash string, latitude double, longitude double, acq_datetime timestamp, frp double, daynight string, event_id string")
+
+
+def folded(rows, earlier=()):
+    """The plain rule over all observations at once, from states."""
+    states, actions = nrt.fold([dict(e) for e in earlier], [dict(zip(("observation_hash", "latitude", "longitude", "acq_datetime", "frp", "daynight", "event_id"), r)) for r in rows], lambda o: "new" + o["observation_hash"])
+    return states, actions
+
+
+def test_batches_fold_as_one_by_one(spark):
+    import random
+
+    r = random.Random(8)
+    sites = [(10, 70), (10.01, 70.01), (10.02, 70.0), (10.5, 70), (-20, 150)]
+    state = spark.createDataFrame([], nrt.STATE)
+    plain: list = []
+    for batch in range(3):
+        span = (0, 60) if batch < 2 else (-50, 20)  # the last batch is late
+        rows = [(*(c + r.uniform(-0.006, 0.006) for c in r.choice(sites)), r.uniform(*span) + 30 * batch) for _ in range(40)]
+        o = observations(spark, rows)
+        own = [tuple(x) for x in o.collect()]
+        own = [(f"b{batch}{x[0]}", *x[1:]) for x in own]
+        o = spark.createDataFrame(own, o.schema)
+        state, actions = nrt.advance(state, o, 1 + 1000 * batch)
+        state = spark.createDataFrame(state.collect(), nrt.STATE)
+        plain, did = folded(own, plain)
+        key = lambda e: (e["event_start"], round(e["centroid_latitude"], 9), round(e["centroid_longitude"], 9), e["last_detection_at"], e["detection_count"], e["is_active"])
+        assert sorted(map(key, (x.asDict() for x in state.collect()))) == sorted(map(key, plain))
+        assert sorted((x["observation_hash"], x["action"]) for x in actions.collect()) == sorted((h, w) for h, _, w in did)
+
+
+def test_pairs_meet_across_the_date_line_and_by_a_pole(spark):
+    import math
+    import random
+
+    from calorine.operators.stdbscan import neighbour_pairs
+
+    r = random.Random(3)
+    rows = [(r.uniform(-0.02, 0.02) + b, (180 + r.uniform(-0.03, 0.03) * k + 180) % 360 - 180, r.uniform(0, 60)) for b, k in ((0, 1), (60, 2), (-88, 20)) for _ in range(60)]
+    rows += [(89.995, x, 0) for x in (-170.0, 10.0, 100.0)] + [(0.0, 179.999, 0), (0.0, -179.999, 0), (0.0, 180.0, 0)]
+    got = {tuple(x) for x in neighbour_pairs(points(spark, rows)).collect()}
+
+    def far(p, q):
+        a, b = math.radians(p[0]), math.radians(q[0])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(h)))
+
+    want = {(i, j) for i, p in enumerate(rows) for j, q in enumerate(rows) if i != j and far(p, q) <= 1.5 and abs(p[2] - q[2]) <= 36}
+    assert got == want and len(want) > 100
+
+
+def test_times_hashes_and_orders(spark):
+    from calorine.functions.parsing import acquired_nrt, clean_text, MISSING_HASHED
+    from calorine.plans import clean, serve
+
+    at = lambda t: value(spark, acquired_nrt(F.lit("2024-05-06"), F.lit(t)))
+    assert [at(t) for t in ("655", "12345", "x", None)] == [datetime(2024, 5, 6, 6, 55)] + [datetime(2024, 5, 6)] * 3 and at("2475") is None and at("1260") is None
+    assert value(spark, clean_text(F.lit("null"), MISSING_HASHED)) == "null" and value(spark, clean_text(F.lit("NaT"), MISSING_HASHED)) is None
+    rows = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 2), ("c", 5.0, 0), ("d", None, 9)], "event_id string, risk_score double, event_start int")
+    order = lambda **k: [r[0] for r in rows.orderBy(*serve.sort_columns(**k)).collect()]
+    assert order(sort_by="risk_score", order="asc") == ["b", "a", "c", "d"] and order(order="asc") == order(sort_by="risk_score", order="asc") and order() == ["c", "b", "a", "d"]
+    base = {c: "1" for c in clean.RAW_COLUMNS} | {"acq_date": "25-12-2023", "acq_time": "655", "confidence": "n", "daynight": "D"}
+    raw = spark.createDataFrame([base | {"frp": "none"}, base | {"frp": "2", "acq_date": "03-01-2024"}])
+    assert clean.clean(raw, None).count() == 2 and clean.clean(raw).count() == 0
+    counts = clean.quality_counts(raw, "dd-MM-yyyy").first()
+    assert counts["frp_missing"] == 0 and counts["frp_invalid"] == 1
+
+
+def test_sorted_numbers_against_plain_statistics():
+    import random
+    import statistics
+
+    from calorine.plans.anomaly import Sorted
+
+    r = random.Random(6)
+    for n in (1, 2, 3, 7, 50, 5000):
+        s, plain = Sorted(), []
+        for _ in range(n):
+            x = round(r.gauss(0, 3), 1)
+            s.add(x)
+            plain.append(x)
+        plain.sort()
+        med = statistics.median(plain)
+        assert [s[i] for i in range(0, n, max(1, n // 50))] == plain[:: max(1, n // 50)] and abs(s.at(0.5) - med) < 1e-12
+        assert abs(s.median_gap(med) - statistics.median(abs(x - med) for x in plain)) < 1e-9
+        at = (n - 1) * 0.25
+        assert abs(s.at(0.25) - (plain[int(at)] + (plain[min(int(at) + 1, n - 1)] - plain[int(at)]) * (at - int(at)))) < 1e-12
+
+
+def test_validation_of_matched_references(spark):
+    columns = "validation_id string, event_id string, match_status string, independent boolean, truth string, candidate_interpretation string, facility_association_method string, infrastructure_score int, temporal_score int, historical_score int, anomaly_support_score int, evidence_strength string"
+    rows = spark.createDataFrame([
+        ("v1", "e1", "MATCHED", True, "INDUSTRIAL", "INDUSTRIAL_ACTIVITY_CANDIDATE", "WITHIN_FACILITY", 3, 0, 0, 0, "STRONG"),
+        ("v2", "e2", "MATCHED", True, "INDUSTRIAL", "POSSIBLE_INDUSTRIAL_ACTIVITY", "NEAR_FACILITY", 2, 2, 1, 0, "MODERATE"),
+        ("v3", "e3", "MATCHED", True, "NATURAL", "INDUSTRIAL_ACTIVITY_CANDIDATE", "AMBIGUOUS", 0, 2, 0, 0, None),
+        ("v4", "e4", "MATCHED", True, "UNKNOWN", None, None, None, None, None, None, None),
+        ("v5", "e5", "MULTIPLE_POSSIBLE_MATCHES", True, "NATURAL", None, None, None, None, None, None, None),
+        ("v6", "e6", "MATCHED", False, "INDUSTRIAL", "ENVIRONMENTAL_VEGETATION_CONTEXT", "NEAR_FACILITY", 1, 0, 0, 0, "WEAK"),
+        ("v7", "e7", "MATCHED", True, "INDUSTRIAL", "ENVIRONMENTAL_VEGETATION_CONTEXT", "NEAR_FACILITY", 1, 0, 0, 0, "WEAK"),
+    ], columns)
+    got = {r["category"]: (r["n"], r["examples"]) for r in validation.errors(rows).collect()}
+    assert set(got) == set(validation.ERRORS) and got["MISSED_INDUSTRIAL"] == (1, ["v7:e7"]) and got["FALSE_INDUSTRIAL"] == (1, ["v3:e3"])
+    assert got["ABSTENTION_ON_INDUSTRIAL"] == (1, ["v2:e2"]) and got["AMBIGUOUS_OR_UNKNOWN_LABEL"] == (1, ["v4:e4"]) and got["MULTIPLE_POSSIBLE_MATCHES"] == (1, ["v5"])
+    ablated = {r["variant"]: r for r in validation.ablation(rows.where("truth <> 'UNKNOWN'")).collect()}
+    assert ablated["infrastructure_only"]["tp"] == 1 and ablated["infrastructure_only"]["abstained"] == 3 and ablated[validation.FULL]["fp"] == 1 and ablated[validation.FULL]["fn"] == 1
+    strong = {r["strength"]: tuple(r)[1:] for r in validation.strength_precision(rows).collect()}
+    assert strong["STRONG"] == (1, 1.0, 1) and strong["UNKNOWN"] == (1, 0.0, 1) and strong["WEAK"] == (0, None, 2)
+    assert validation.report(rows.limit(0))["metric_status"] == "NOT_EVALUATED" and validation.report(rows)["metric_status"] == "EVALUATED"
