@@ -33,6 +33,19 @@ def landcover_raster(events: DataFrame, pixels: DataFrame, x0: float, y0: float,
     return out.withColumns({"landcover_available": seen, "dominant_landcover_class": name, "landcover_fraction": F.when(seen, 1.0), "landcover_class_count": F.when(seen, 1)}).drop("value")
 
 
+def satellite(events: DataFrame, pixels: DataFrame | None, x0: float = 0.0, y0: float = 0.0, dx: float = 1.0, dy: float = 1.0, nodata: float | None = None, source: str = "local_satellite_context") -> DataFrame:
+    """events with the value of a satellite raster at their centroid; outside, nodata or no raster: not available, NULL."""
+    if pixels is None:
+        seen, out = F.lit(False), events.withColumn("value", F.lit(None).cast("double"))
+    else:
+        row, col = raster_cell(F.col("centroid_longitude"), F.col("centroid_latitude"), x0, y0, dx, dy)
+        px = pixels.where(F.col("value") != nodata) if nodata is not None else pixels
+        out = events.withColumns({"row": row, "col": col}).join(px, ["row", "col"], "left").drop("row", "col")
+        seen = F.col("value").isNotNull() & ~F.isnan("value")
+    out = out.withColumns({"satellite_context_available": seen, "satellite_source": F.when(seen, source), "satellite_value": F.when(seen, F.col("value")), "satellite_value_name": F.when(seen, "band_1")})
+    return out.drop("value")
+
+
 def landcover_vector(events: DataFrame, polygons: DataFrame, class_column: str = "class") -> DataFrame:
     """Same from polygons(rings, geometry_type, class, ordinal): the first polygon that holds the centroid."""
     e = event_geometry(events).select("event_id", "cx", "cy", F.col("cx").alias("l_w"), F.col("cy").alias("l_s"), F.col("cx").alias("l_e"), F.col("cy").alias("l_n"))

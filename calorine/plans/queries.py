@@ -260,7 +260,9 @@ select event_id, coalesce((r * 200 + c) % 5 <> 0 and r between 0 and 199 and c b
 def _judged(s: SparkSession, d: str) -> DataFrame:
     fused = fusion.fuse(a.events(s, d))
     truth = F.when(F.expr("cast(substring(event_id, 5, 7) as int) % 3 = 0"), "INDUSTRIAL").otherwise("NATURAL")
-    return fused.withColumns({"truth": truth, "predicted": validation.to_binary(F.col("candidate_interpretation"))})
+    k = F.expr("cast(substring(event_id, 5, 7) as int)")
+    status = F.when(k % 11 == 0, "MULTIPLE_POSSIBLE_MATCHES").when(k % 13 == 0, "NO_MATCH").otherwise("MATCHED")
+    return fused.withColumns({"truth": F.when(k % 17 == 0, "UNKNOWN").otherwise(truth), "predicted": validation.to_binary(F.col("candidate_interpretation")), "match_status": status, "independent": k % 5 != 0, "validation_id": F.concat(F.lit("VAL_"), k.cast("string"))})
 
 
 def validation_metrics(s: SparkSession, d: str) -> DataFrame:
@@ -276,7 +278,7 @@ def validation_classes(s: SparkSession, d: str) -> DataFrame:
 
 
 def validation_ablation(s: SparkSession, d: str) -> DataFrame:
-    return validation.ablation(_judged(s, d)).select("variant", "tp", "fp", "tn", "fn")
+    return validation.ablation(_judged(s, d)).select("variant", "tp", "fp", "tn", "fn", "abstained")
 
 
 def validation_errors(s: SparkSession, d: str) -> DataFrame:
@@ -295,7 +297,7 @@ def label_normalization(s: SparkSession, d: str) -> DataFrame:
 
 
 _JUDGED = f"""{_FUSION},
-j as (select *, case when cast(substr(event_id, 5, 7) as integer) % 3 = 0 then 'INDUSTRIAL' else 'NATURAL' end as truth, case when cand in ('AMBIGUOUS_EVIDENCE', 'MIXED_OR_CONFLICTING', 'INSUFFICIENT_EVIDENCE', 'POSSIBLE_INDUSTRIAL_ACTIVITY') then null when cand = 'INDUSTRIAL_ACTIVITY_CANDIDATE' then 'INDUSTRIAL' else 'NON_INDUSTRIAL' end as predicted from f6)"""
+j as (select *, cast(substr(event_id, 5, 7) as integer) as k, case when cast(substr(event_id, 5, 7) as integer) % 17 = 0 then 'UNKNOWN' when cast(substr(event_id, 5, 7) as integer) % 3 = 0 then 'INDUSTRIAL' else 'NATURAL' end as truth, case when cand in ('AMBIGUOUS_EVIDENCE', 'MIXED_OR_CONFLICTING', 'INSUFFICIENT_EVIDENCE', 'POSSIBLE_INDUSTRIAL_ACTIVITY') then null when cand = 'INDUSTRIAL_ACTIVITY_CANDIDATE' then 'INDUSTRIAL' else 'NON_INDUSTRIAL' end as predicted from f6)"""
 
 
 # ---------------------------------------------------------------- serving
@@ -365,8 +367,13 @@ ORACLES = {
     "landcover_sample": _LANDCOVER,
     "validation_metrics": f"with {_JUDGED}, k as (select count(*) as n, {_COUNTS}, count(*) filter (where predicted is null) as abstained from j), k2 as (select *, {_RATES}, tn / nullif(cast(tn + fp as double), 0) as specificity, tn / nullif(cast(tn + fn as double), 0) as npv, (tp + tn) / nullif(cast(tp + tn + fp + fn as double), 0) as accuracy, 2 * tp / nullif(cast(2 * tp + fp + fn as double), 0) as f1, (n - abstained) / nullif(cast(n as double), 0) as coverage, abstained / nullif(cast(n as double), 0) as abstention_rate from k) select *, (recall + specificity) / 2 as balanced_accuracy from k2",
     "validation_thresholds": f"with {_JUDGED}, v as (select truth, floor, case when x >= floor then 'INDUSTRIAL' else 'NON' end as predicted from j, (values (0), (4), (6), (8), (10)) w(floor)), k as (select floor, {_COUNTS} from v group by floor) select *, {_RATES} from k",
-    "validation_ablation": f"with {_JUDGED}, v as (select truth, 'full' as variant, 2*i + t + least(h, 2) + an + st as total from j union all select truth, 'infrastructure', t + least(h, 2) + an + st from j union all select truth, 'temporal', 2*i + least(h, 2) + an + st from j union all select truth, 'historical', 2*i + t + an + st from j union all select truth, 'anomaly', 2*i + t + least(h, 2) + st from j union all select truth, 'sta', 2*i + t + least(h, 2) + an from j), w as (select variant, truth, case when total >= 6 then 'INDUSTRIAL' else 'NON' end as predicted from v) select variant, {_COUNTS} from w group by variant",
-    "validation_errors": f"with {_JUDGED}, k as (select event_id, case when predicted is null then case when truth = 'INDUSTRIAL' then 'ABSTAINED_INDUSTRIAL' else 'ABSTAINED_OTHER' end when truth = 'INDUSTRIAL' and predicted = 'INDUSTRIAL' then 'TRUE_POSITIVE' when truth = 'INDUSTRIAL' then 'FALSE_NEGATIVE' when predicted = 'INDUSTRIAL' then 'FALSE_POSITIVE' else 'TRUE_NEGATIVE' end as category from j) select category, count(*) as n, array_to_string(list_sort(list(event_id))[1:5], ',') as examples from k group by category",
+    "validation_ablation": f"""with {_JUDGED}, o as (select * from j where k % 11 <> 0 and k % 13 <> 0 and k % 5 <> 0),
+b as (select truth, variant, case when m = 'AMBIGUOUS' then null when i >= 3 then 'INDUSTRIAL' else null end as predicted from o, (values ('infrastructure_only'), ('infrastructure_plus_temporal'), ('infrastructure_plus_history'), ('infrastructure_plus_anomaly'), ('infrastructure_plus_temporal_history_anomaly')) w(variant)
+      union all select truth, 'full_available_i7', predicted from o) select variant, {_COUNTS}, count(*) filter (where predicted is null) as abstained from b group by variant""",
+    "validation_errors": f"""with {_JUDGED}, o as (select *, 'VAL_' || cast(k as varchar) as vid from j), c as (
+select case when truth = 'UNKNOWN' then 'AMBIGUOUS_OR_UNKNOWN_LABEL' when predicted is null then case when truth = 'INDUSTRIAL' then 'ABSTENTION_ON_INDUSTRIAL' else 'ABSTENTION_ON_NON_INDUSTRIAL' end when truth = 'INDUSTRIAL' and predicted <> 'INDUSTRIAL' then 'MISSED_INDUSTRIAL' when truth <> 'INDUSTRIAL' and predicted = 'INDUSTRIAL' then 'FALSE_INDUSTRIAL' end as category, vid || ':' || event_id as key from o where k % 11 <> 0 and k % 13 <> 0 and k % 5 <> 0
+union all select 'MULTIPLE_POSSIBLE_MATCHES', vid from o where k % 11 = 0), g as (select category, count(*) as n, array_to_string(list_sort(list(key))[1:5], ',') as examples from c where category is not null group by category)
+select category, coalesce(n, 0) as n, coalesce(examples, '') as examples from (values ('FALSE_INDUSTRIAL'), ('MISSED_INDUSTRIAL'), ('FALSE_NON_INDUSTRIAL'), ('ABSTENTION_ON_INDUSTRIAL'), ('ABSTENTION_ON_NON_INDUSTRIAL'), ('AMBIGUOUS_OR_UNKNOWN_LABEL'), ('MULTIPLE_POSSIBLE_MATCHES')) v(category) left join g using (category)""",
     "label_normalization": "select p_partkey, case p_partkey % 7 when 0 then 'UNKNOWN' when 1 then 'INDUSTRIAL' when 2 then 'AGRICULTURAL' when 3 then 'OTHER' when 4 then 'INDUSTRIAL' when 5 then 'UNKNOWN' else 'NATURAL' end as label from part",
     "list_events": f"with e as (select *, anomaly_score * 10 as risk_score from ({a.EVENTS_SQL})) select event_id, risk_score, event_start from e where facility_association_method = 'NEAR_FACILITY' and centroid_longitude between 72 and 85 and centroid_latitude between 9 and 30 and risk_score >= 5 order by risk_score desc nulls last, event_start desc nulls last, event_id limit 50 offset 50",
     "list_facilities": "select cast(c_custkey as varchar) as facility_id, c_name as facility_name, c_mktsegment as facility_type from customer where c_name ilike '%00%' or cast(c_custkey as varchar) ilike '%00%' order by c_name nulls last, cast(c_custkey as varchar) limit 100",

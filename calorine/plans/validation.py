@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calorine.functions.geo import haversine
 from calorine.functions.parsing import clean_text, hours
+from calorine.functions.session import saved
 
 # Reference label vocabulary, in the order in which parts of words are tried.
 LABELS = {
@@ -85,7 +86,7 @@ def confusion(rows: DataFrame, truth: str = "truth", predicted: str = "predicted
 
 def class_metrics(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Per class: support, precision, recall, f1."""
-    pairs = confusion(rows, truth, predicted)
+    pairs = saved(confusion(rows, truth, predicted), "confusion")  # a row for each pair of classes; read twice
     t = pairs.groupBy(F.col(truth).alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("tp"))
     p = pairs.groupBy(F.col(predicted).alias("label")).agg(F.sum("n").alias("claimed"))
     out = t.join(p, "label", "full").na.fill(0, ["support", "tp", "claimed"])
@@ -147,6 +148,7 @@ def errors(rows: DataFrame, examples: int = 5) -> DataFrame:
 
     All kinds come out, those without a case with n = 0.
     """
+    rows = saved(rows.select("validation_id", "event_id", "truth", "candidate_interpretation", "match_status", "independent"), "matches")  # read three times
     t, p = F.col("truth"), to_binary(F.col("candidate_interpretation"))
     kind = F.when(t.isin("AMBIGUOUS", "UNKNOWN"), "AMBIGUOUS_OR_UNKNOWN_LABEL").when(p.isNull(), F.when(t == "INDUSTRIAL", "ABSTENTION_ON_INDUSTRIAL").otherwise("ABSTENTION_ON_NON_INDUSTRIAL"))
     kind = kind.when((t == "INDUSTRIAL") & (p != "INDUSTRIAL"), "MISSED_INDUSTRIAL").when((t != "INDUSTRIAL") & (p == "INDUSTRIAL"), "FALSE_INDUSTRIAL")
