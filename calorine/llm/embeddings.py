@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import FloatType
 
-from calorine.functions.session import saved
+from calorine.functions.session import partitions, saved
 from calorine.llm.words import mix
 from calorine.operators.graph import connected_components
 
@@ -194,7 +194,7 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if held and held.num_rows:
             yield from whole(held, held.num_rows, np.zeros(1, np.int64))
 
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(rows, 32 << 20)
     dealt = placed.select("bucket", "lo", "hi", "chunk", "id", "weight", "vector", "vertices").repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     return saved(dealt.mapInArrow(blocks, "id long, links long, low long"), "vector-links")
 

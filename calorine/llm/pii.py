@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from calorine.functions.session import saved
+from calorine.functions.session import discard, saved
 from calorine.llm.words import bounded
 
 #: The session setting that holds the key of the query; without it the query uses a key that is no secret.
@@ -301,6 +301,7 @@ def assign(entities: DataFrame, key: bytes, make: Callable = surrogate) -> DataF
         rest = proposed.join(won.select("kind", "entity", "gender"), ["kind", "entity", "gender"], "left_anti")
         held = won if held is None else held.union(won)
         rest = saved(rest.select("kind", "entity", "gender", (F.col("attempt") + 1).cast("int").alias("attempt")), "surrogates-open")
+        discard(proposed, open_)
         if rest.isEmpty():
             return held
         open_ = rest

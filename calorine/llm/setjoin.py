@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from calorine.functions.session import saved
+from calorine.functions.session import partitions, saved
 from calorine.llm.words import NON_SPACE, bounded, chunks, mix, rolling
 from calorine.operators.graph import connected_components
 
@@ -300,7 +300,7 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
         if last:
             yield last
 
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(entries, 32 << 20)
     return entries.repartition(parts, "item").sortWithinPartitions("item", "n").mapInArrow(lists, "a long, b long").distinct()
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from calorine.functions.session import saved, scratch_root
+from calorine.functions.session import partitions, saved, scratch_root
 from calorine.llm.words import CHUNK, bounded, mix, texts_of
 
 #: Ids in one block of the files, about.
@@ -347,15 +347,11 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids:
 
     codec_width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
     codec_kind = np.dtype(f"<u{codec_width}")
-    dealt = rows.where("id is null").select("doc_id", "n", "ids").repartitionByRange(spark_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    dealt = rows.where("id is null").select("doc_id", "n", "ids").repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "n", "ids")
     dealt.mapInArrow(blocks, "part int, block int, doc_ids binary, known binary, n_tokens binary, n_before long, n_block long, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/blocks")
     return folder
 
 
-def spark_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # ---------------------------------------------------------------- reading
 def read(spark: SparkSession, folder: str, texts_of_ids=None) -> DataFrame:
     """One row per document of the token files: doc_id, start, n_tokens, ids_crc32.
