@@ -20,7 +20,7 @@ def unescape(text: Column) -> Column:
 def examples(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One example for each turn of the trained role: all turns up to it, with only its text under the loss mask.
 
-    Columns: conv_id, example (number of its last turn), text, loss_start and
+    Columns: conv_id, alone (a number for each row without a conv_id), example (number of its last turn), text, loss_start and
     loss_end (code points of the trainable part). A conversation that does not end
     with a trained turn gets one last example with an empty mask, so that no turn
     is lost. Rows are ordered by turn, then role, then text (null turns first);
@@ -29,34 +29,32 @@ def examples(conversations: DataFrame, trained_role: str = "assistant") -> DataF
     columns are ignored. Examples grow with the square of a conversation's turns: that is the expansion.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    one = F.struct("turn", "role", "text")
-    turns = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
-    turns = turns.union(rows.where("conv_id is null").select("conv_id", F.array(one)))
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    turns = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     head = lambda x: F.concat(F.lit(TURN), escape(x["role"]), F.lit(SAYS))
-    parts = turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), head(x).alias("head"), escape(x["text"]).alias("body"))).alias("p"))
+    parts = turns.select("conv_id", "alone", F.transform("t", lambda x: F.struct(x["role"].alias("role"), head(x).alias("head"), escape(x["text"]).alias("body"))).alias("p"))
     last = F.size("p")
     ends = F.filter(F.sequence(F.lit(1), last), lambda i: (F.get("p", i - 1)["role"] == trained_role) | (i == last))
-    each = parts.select("conv_id", "p", F.explode(ends).alias("example"))
+    each = parts.select("conv_id", "alone", "p", F.explode(ends).alias("example"))
     target = F.get("p", F.col("example") - 1)
     context = F.array_join(F.transform(F.slice("p", 1, F.col("example") - 1), lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-    made = each.select("conv_id", "example", F.concat(context, target["head"]).alias("prompt"), target["body"].alias("body"), (target["role"] == trained_role).alias("trained"))
+    made = each.select("conv_id", "alone", "example", F.concat(context, target["head"]).alias("prompt"), target["body"].alias("body"), (target["role"] == trained_role).alias("trained"))
     start = F.length("prompt").cast("long")
-    return made.select("conv_id", "example", F.concat("prompt", "body", F.lit(END)).alias("text"), start.alias("loss_start"), F.when(F.col("trained"), start + F.length("body")).otherwise(start).alias("loss_end"))
+    return made.select("conv_id", "alone", "example", F.concat("prompt", "body", F.lit(END)).alias("text"), start.alias("loss_start"), F.when(F.col("trained"), start + F.length("body")).otherwise(start).alias("loss_end"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the examples alone: its turns and its trainable text, as digests.
 
-    Examples without a conv_id, which hold one turn each, give a row each.
+    Examples of rows without a conv_id give a row each.
     """
     masked = F.expr("substring(text, cast(loss_start as int) + 1, cast(loss_end - loss_start as int))")
     body = F.struct("example", masked.alias("body"))
-    all_of = formatted.where("conv_id is not null").groupBy("conv_id").agg(
+    all_of = formatted.groupBy("conv_id", "alone").agg(
         F.max_by("text", "example").alias("text"),
         F.array_sort(F.collect_list(body)).alias("masked"),
         F.sum(F.length("text").cast("long")).alias("formatted_chars"),
     )
-    all_of = all_of.union(formatted.where("conv_id is null").select("conv_id", "text", F.array(body), F.length("text").cast("long")))
     turns = F.transform(F.filter(F.split("text", END), lambda x: x != ""), lambda x: F.concat(unescape(F.substring_index(F.substring(x, len(TURN) + 1, 2**31 - 1), SAYS, 1)), F.lit("\n"), unescape(F.substring_index(x, SAYS, -1)), F.lit("\n")))
     loss = F.array_join(F.transform("masked", lambda x: unescape(x["body"])), "")
     read = all_of.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted_chars")
