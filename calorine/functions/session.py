@@ -60,7 +60,7 @@ def saved(df: DataFrame, name: str, compression: str = "zstd", **options: str) -
 def discard(*frames: DataFrame) -> None:
     """Remove the files of frames that `saved` made and that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "scratch_path", None)
+        path = vars(df).get("scratch_path")  # not getattr, which finds a column of this name
         spark = _held.pop(path, None)
         if spark is not None:
             _delete(spark, path)
