@@ -1,10 +1,15 @@
-"""A corpus pipeline of five stages over `documents`; each stage works on all that its predecessor kept."""
+"""A corpus pipeline of five stages over `documents`; each stage works on all that its predecessor kept.
+
+All stages take nulls in any column, empty and very long texts, ties, repeated rows, empty tables and columns
+of other names, with the results that the operators state: null texts are empty, rows without a doc_id are kept apart
+and never dropped as copies, repeated rows are judged and repeated alike, an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calorine.functions.session import saved
+from calorine.functions.session import discard, saved
 from calorine.llm import decontaminate, mixing, quality, setjoin, tokens
 
 
@@ -49,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what each stage keeps is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
