@@ -8,13 +8,15 @@ keep work near-linear where many sets are alike:
 * Answers are derived, not recomputed: sets that agree exactly are one class, and
   sets that agree in a band of minima are verified against one leader first. A
   set so tied to a class inherits the answers of the class, so pairs inside it are
-  never formed again.
-* Index lists are skipped in blocks: lists whose entries all belong to one class
-  are passed over whole, and within a list the entries, sorted by size, are
-  compared block by block; blocks out of each other's size range, or whose
-  positions leave too little room for the overlap, are skipped.
-
-What remains are pairs across classes, each verified on the full sets.
+  never formed again. For pairs across classes the leaders are intersected once;
+  the shingles by which two sets differ from their leaders bound the change of
+  that intersection, which decides most pairs without their sets.
+* Index lists are skipped by position: the entries of a list stand in blocks of
+  one size, sorted by position, and of two blocks only the leading entries whose
+  positions leave room for the overlap are paired. Blocks out of each other's
+  size range, or all of one class, are passed over whole.
+
+What bounds leave open is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from calorine.functions.session import partitions, saved
+from calorine.functions.session import discard, partitions, saved
 from calorine.llm.words import NON_SPACE, bounded, chunks, mix, rolling
 from calorine.operators.graph import connected_components
 
@@ -33,8 +35,8 @@ WIDTH, NUM, DEN = 4, 85, 100
 #: Counters of the count sketch (4 bytes each), slices it is summed in, bits of the id filter: all fixed.
 SKETCH, SLICES, FILTER_BITS = 1 << 20, 16, 1 << 23
 BANDS, ROWS = 6, 3
-#: Entries of a list that are compared at once.
-BLOCK = 1024
+#: Pairs of blocks, or of entries, that are looked at at once.
+STEP = 1 << 18
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -157,26 +159,65 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return placed.mapInArrow(scan, "doc_id long, items binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link, as edges (u, v)."""
+def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(a, b, p, q, i) for pairs (a, b): the sizes of both whole sets and of their intersection."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
     sets = _sets(docs, ids, width).join(ids, "doc_id", "left_semi").distinct()
     sets = saved(sets, "join-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                good = []
+                found = []
                 for x, y in zip(part.column(2), part.column(3), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     z = np.sort(np.concatenate([x, y]), kind="stable")
-                    i = int((z[1:] == z[:-1]).sum())
-                    good.append(den * i >= num * (len(x) + len(y) - i))
-                good = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["u", "v"])
+                    found.append((len(x), len(y), int((z[1:] == z[:-1]).sum())))
+                p, q, i = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, pa.int64()) for v in (p, q, i))], names=["a", "b", "p", "q", "i"])
+
+    out = saved(both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long, p long, q long, i long"), "join-overlaps")
+    discard(sets)
+    return out
+
+
+def _linked(overlaps: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) of the overlaps that link."""
+    return overlaps.where(f"i > 0 and {den} * i >= {num} * (p + q - i)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    return saved(both.select("a", "b", "x", "y").mapInArrow(check, "u long, v long"), "join-links")
+
+def _derived(pairs: DataFrame, ties: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links among pairs (a, b) that leaders' answers give, and the pairs that they leave open.
+
+    ties holds the overlaps of sets with leaders, sizes (doc_id, n) the documents of one set only. With x and w the
+    leaders of a and b, the intersection of a and b is at least that of x and w less what a lacks of x and b of w, and at
+    most that intersection and what a has beyond x and b beyond w. Leaders meet once for all pairs that they lead.
+    """
+    pairs = pairs.join(ties.select("a", "b"), ["a", "b"], "left_anti")  # answered already
+    single = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("q"))
+    led = ties.join(single, ["b", "q"], "left_semi").join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("p")), ["a", "p"], "left_semi")
+    nearest = led.groupBy("b").agg(F.min(F.struct((F.col("p") + F.col("q") - 2 * F.col("i")).alias("differ"), "a", "p", "q", "i")).alias("t"))
+    leads = sizes.join(nearest.withColumnRenamed("b", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n", F.coalesce("t.a", "doc_id").alias("x"), F.coalesce("t.p", "n").alias("xn"),
+        F.coalesce(F.expr("t.p - t.i"), F.lit(0)).alias("lacks"), F.coalesce(F.expr("t.q - t.i"), F.lit(0)).alias("beyond"),
+    )
+    side = lambda s: leads.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in leads.columns[1:]))
+    sided = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    sided = saved(sided.withColumns({"x": F.expr("if(x_a is null or x_b is null, null, least(x_a, x_b))"), "w": F.expr("if(x_a is null or x_b is null, null, greatest(x_a, x_b))")}), "join-sided")
+    asked = sided.where("x <> w").groupBy("x", "w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("x").alias("a"), F.col("w").alias("b"))
+    asked = saved(asked.join(ties.select("a", "b"), ["a", "b"], "left_anti"), "join-asked")
+    known = ties.select("a", "b", "i")
+    if not asked.isEmpty():
+        known = known.union(_overlaps(docs, asked, width).select("a", "b", "i"))
+    known = known.groupBy(F.col("a").alias("x"), F.col("b").alias("w")).agg(F.max("i").alias("i"), F.min("i").alias("least"))
+    told = sided.join(known, ["x", "w"], "left").withColumn("i", F.expr("if(x = w, xn_a, if(i = least, i, null))"))
+    low, high = F.expr("i - lacks_a - lacks_b"), F.expr("least(i + beyond_a + beyond_b, n_a, n_b)")
+    links = lambda i: F.lit(den) * i >= F.lit(num) * (F.col("n_a") + F.col("n_b") - i)
+    told = told.select("a", "b", F.when(links(low), F.lit(True)).when(~links(high), F.lit(False)).alias("linked"))
+    told = saved(told, "join-told")
+    discard(sided, asked)
+    return told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), told.where("linked is null").select("a", "b")
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, num: int, den: int) -> DataFrame:
@@ -224,84 +265,93 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     return prefixes.select("doc_id", "label", "n", "items", "places").mapInArrow(spread, "item long, label long, doc_id long, n int, pos int")
 
 
-class _Lists:
-    """Pairs of index lists that no block rule skips. Lists come whole, entries sorted by size."""
+def _pieces(counts: np.ndarray, most: int = STEP) -> Iterator[tuple[int, int]]:
+    """Runs of counts whose sum is at most `most`; a greater count stands alone."""
+    ends = np.cumsum(counts)
+    s = 0
+    while s < len(counts):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + most, "right")))
+        yield s, e
+        s = e
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.a, self.b = num, den, [], []
 
-    def add(self, label: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray) -> None:
-        if len(n) == 2:
-            self.small(label, doc, n, pos)
-            return
-        for s in range(0, len(n), BLOCK):
-            e = min(s + BLOCK, len(n))
-            most = n[e - 1] * self.den // self.num
-            for t in range(s, len(n), BLOCK):
-                if n[t] > most:  # this block and all later ones are too large
-                    break
-                u = min(t + BLOCK, len(n))
-                one, two = label[s:e], label[t:u]
-                if one.min() == one.max() == two.min() == two.max():
-                    continue
-                room = 1 + np.minimum((n[s:e] - pos[s:e])[:, None], (n[t:u] - pos[t:u])[None, :]) - 1
-                fits = (one[:, None] != two[None, :]) & (room >= least_overlap(n[s:e][:, None], n[t:u][None, :], self.num, self.den)) & (n[t:u][None, :] * self.num <= n[s:e][:, None] * self.den)
-                if s == t:
-                    fits &= np.tri(e - s, k=-1, dtype=bool).T
-                i, j = np.nonzero(fits)
-                self.a.append(doc[s:e][i])
-                self.b.append(doc[t:u][j])
-
-    def small(self, label, doc, n, pos) -> None:
-        x, y = int(n[0]), int(n[1])
-        if label[0] != label[1] and y * self.num <= x * self.den and min(x - int(pos[0]), y - int(pos[1])) >= -(-self.num * (x + y) // (self.num + self.den)):
-            self.a.append(doc[:1])
-            self.b.append(doc[1:])
-
-    def out(self) -> pa.RecordBatch | None:
-        if not self.a:
-            return None
-        a, b = np.concatenate(self.a), np.concatenate(self.b)
-        self.a, self.b = [], []
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _ranges(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from first, so many as counts, of all ranges in a row; and the range of each."""
+    k = np.repeat(np.arange(len(counts)), counts)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(counts) - counts, counts) + first[k]
+
+
+def list_pairs(item: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries (as numbers i, j) of one list and of different classes that leave room for the overlap.
+
+    Entries are sorted by item (which names the list), size and position. Equal sizes of a list are a block.
+    """
+    n = n.astype(np.int64)
+    fresh = np.concatenate([[True], item[1:] != item[:-1]])
+    heads = np.flatnonzero(fresh | np.concatenate([[True], n[1:] != n[:-1]]))
+    length = np.diff(np.append(heads, len(n)))
+    size, listed = n[heads], (np.cumsum(fresh) - 1)[heads] << 32
+    low, high = np.minimum.reduceat(label, heads), np.maximum.reduceat(label, heads)
+    at = (np.repeat(np.arange(len(heads)), length) << 32) + pos
+    block = np.arange(len(heads))
+    partners = np.searchsorted(listed + size, listed + size * den // num, "right") - block  # blocks from this one on, in its size range
+    for s, e in _pieces(partners):
+        g, h = _ranges(block[s:e], partners[s:e])
+        g = g + s
+        mixed = np.maximum(high[g], high[h]) != np.minimum(low[g], low[h])
+        g, h = g[mixed], h[mixed]
+        least = least_overlap(size[g], size[h], num, den)
+        x = np.searchsorted(at, (g << 32) + size[g] - least, "right") - heads[g]  # leading entries with room
+        y = np.searchsorted(at, (h << 32) + size[h] - least, "right") - heads[h]
+        both = (x > 0) & (y > 0)
+        g, h, x, y = g[both], h[both], x[both], y[both]
+        for s2, e2 in _pieces(x):
+            k, i = _ranges(heads[g[s2:e2]], x[s2:e2])
+            k = k + s2
+            own = g[k] == h[k]
+            first = np.where(own, i + 1, heads[h[k]])
+            count = heads[h[k]] + y[k] - first
+            for s3, e3 in _pieces(count):
+                r, j = _ranges(first[s3:e3], count[s3:e3])
+                of = i[s3:e3][r]
+                differ = label[of] != label[j]
+                yield of[differ], j[differ]
 
 
 def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of different classes that the index leaves to be verified."""
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        found = _Lists(num, den)
-
-        def process(x: list[np.ndarray]) -> None:
-            item, label, doc, n, pos = x
-            starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-            ends = np.append(starts[1:], len(item))
-            mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-            for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-                found.add(label[s:e], doc[s:e], n[s:e], pos[s:e])
+    def process(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], x[0][1:] != x[0][:-1]]))
+        mixed = np.minimum.reduceat(x[1], starts) != np.maximum.reduceat(x[1], starts)
+        wanted = np.repeat(mixed, np.diff(np.append(starts, len(x[0]))))
+        if not wanted.any():
+            return
+        item, label, doc, n, pos = (c[wanted] for c in x)
+        for i, j in list_pairs(item, n, pos, label, num, den):
+            a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+            pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(new[0]):
                 continue
-            held = [np.concatenate(p) for p in zip(held, new, strict=True)] if held else new
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
-            if cut:
-                process([c[:cut] for c in held])
-                held = [c[cut:] for c in held]
-                if sum(map(len, found.a)) > 100_000:
-                    yield found.out()
-        if held and len(held[0]):
-            process(held)
-        last = found.out()
-        if last:
-            yield last
+            held.append(new)
+            if new[0][0] == new[0][-1] == held[0][0][0] or sum(len(h[0]) for h in held) < STEP:
+                continue  # one list goes on, or too little to be worth a pass
+            whole = [np.concatenate(p) for p in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last list may go on
+            yield from process([c[:cut] for c in whole])
+            held = [[c[cut:].copy() for c in whole]]
+        if held:
+            yield from process([np.concatenate(p) for p in zip(*held, strict=True)])
 
     parts = partitions(entries, 32 << 20)
-    return entries.repartition(parts, "item").sortWithinPartitions("item", "n").mapInArrow(lists, "a long, b long").distinct()
+    return entries.repartition(parts, "item").sortWithinPartitions("item", "n", "pos").mapInArrow(lists, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- the join
@@ -328,7 +378,8 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     bands = classes.select("rep", F.explode("bands").alias("band"))
     leaders = bands.groupBy("band").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
     near = saved(bands.join(leaders, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "join-near")
-    similar = _verified(slim, near, width, num, den)
+    ties = _overlaps(slim, near, width)
+    similar = _linked(ties, num, den)
     # A doc_id with several rows is one node.
     twice = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).join(classes.select(F.col("rep").alias("u")).distinct(), "u", "left_semi")
     tied = saved(connected_components(similar.union(twice)), "join-tied")
@@ -336,8 +387,10 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     # All other pairs, across classes, by the index.
     prefixes = _prefixes(slim.where("doc_id is not null"), sketch, width, num, den).where("n > 0").join(labels, ["doc_id", "f"])
     pairs = saved(_candidates(_entries(prefixes), num, den), "join-pairs")
-    more = _verified(slim, pairs, width, num, den)
-    links = more.union(tied.where("node <> component").select("node", "component"))
+    single = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k").join(twice.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
+    told, left = _derived(pairs, ties, single, slim, width, num, den)
+    more = _linked(_overlaps(slim, left, width), num, den)
+    links = more.union(told).union(tied.where("node <> component").select("node", "component"))
     final = connected_components(links).withColumnsRenamed({"node": "rep"})
     least = members.join(final, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = sized.select("doc_id", F.col("n").alias("n_shingles")).join(least, "doc_id", "left")

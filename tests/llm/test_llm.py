@@ -60,21 +60,74 @@ def near(text, seed, share=0.03):
     return " ".join("zz" + w if r.random() < share else w for w in text.split())
 
 
-def test_join_against_brute_force(spark):
-    base = [prose(rng.randint(3, 150), s) for s in range(30)]
-    texts = base + [near(base[i % 6], 100 + i, 0.01 * (i % 5)) for i in range(60)] + base[:5] + ["one", "one", "a b", "", None]
+def components_by_brute_force(texts):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
     up = list(range(len(texts)))
     for _ in texts:
+        before = list(up)
         for i, a in enumerate(sets):
             for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                if up[i] != up[j] and a and b and 100 * len(a & b) >= 85 * len(a | b):
                     up[i] = up[j] = min(up[i], up[j])
+        if up == before:
+            break
+    return {i: (len(sets[i]), up[i]) for i in range(len(texts))}
+
+
+def test_join_against_brute_force(spark):
+    base = [prose(rng.randint(3, 150), s) for s in range(30)]
+    texts = base + [near(base[i % 6], 100 + i, 0.01 * (i % 5)) for i in range(60)] + base[:5] + ["one", "one", "a b", "", None]
     got = {r[0]: (r[1], r[2]) for r in setjoin.join(docs(spark, texts)).collect()}
-    assert got == {i: (len(sets[i]), up[i]) for i in range(len(texts))}
+    assert got == components_by_brute_force(texts)
+
+
+def test_answers_of_leaders_decide_pairs(spark):
+    words = prose(400, 77).split()
+    texts = []
+    for tail in range(3):  # families that share 330 of 400 words, short of linking, each of copies that differ in a word or two
+        own = prose(70, 200 + tail)
+        whole = words[:330] + own.split()
+        for k in range(6):
+            copy = list(whole)
+            for at in (11 * k + tail, 370 + k)[: k % 3]:
+                copy[at] = f"new{tail}{k}"
+            texts.append(" ".join(copy))
+        texts += [own + " " + prose(300, 1000 + 20 * tail + k) for k in range(20)]  # make the shared words the rarer ones
+    got = {r[0]: r[2] for r in setjoin.join(docs(spark, texts)).collect()}
+    assert got == {d: v[1] for d, v in components_by_brute_force(texts).items()}
+
+    df = docs(spark, texts).select("doc_id", "text")
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    leaders, members = [0, 26, 52], {t: range(26 * t + 1, 26 * t + 6) for t in range(3)}
+    ties = setjoin._overlaps(df, spark.createDataFrame([(leaders[t], m) for t in members for m in members[t]], "a long, b long"), 4)
+    sizes = spark.createDataFrame([(d, len(x)) for d, x in enumerate(sets)], "doc_id long, n long")
+    pairs = [(a, b) for t in members for u in members if t < u for a in (leaders[t], *members[t]) for b in (leaders[u], *members[u])]
+    for num in (85, 69, 60):
+        told, left = (set(map(tuple, x.collect())) for x in setjoin._derived(spark.createDataFrame(pairs, "a long, b long"), ties, sizes, df, 4, num, 100))
+        links = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+        assert told <= links <= told | left
+        assert num == 69 or not left
+
+
+def test_list_pairs_against_all_pairs(monkeypatch):
+    g = np.random.default_rng(8)
+    n, item, label = g.integers(1, 40, 300), g.integers(0, 4, 300), g.integers(0, 3, 300)
+    pos = g.integers(0, n)
+    order = np.lexsort((pos, n, item))
+    item, n, pos, label = item[order], n[order], pos[order], label[order]
+    want = set()
+    for i in range(300):
+        for j in range(i + 1, 300):
+            room = min(n[i] - pos[i], n[j] - pos[j])
+            if item[i] == item[j] and label[i] != label[j] and 100 * room >= 85 * (n[i] + n[j] - room) and n[j] * 85 <= n[i] * 100:
+                want.add((i, j))
+    for step in (1 << 18, 7):
+        monkeypatch.setattr(setjoin._pieces, "__defaults__", (step,))
+        got = [(int(i), int(j)) for a, b in setjoin.list_pairs(item, n, pos, label, 85, 100) for i, j in zip(a, b, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_decontamination_against_brute_force(spark):
