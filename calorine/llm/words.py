@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 CHUNK = 1 << 19
 #: Rows in an Arrow batch of texts, at most: batches of 10,000 long texts take too much of an executor's memory.
 BATCH_ROWS = 2_000
+#: Bytes in an Arrow batch, about; one longer text stands alone.
+BATCH_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORDBASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -27,11 +29,14 @@ ALNUM[0x80:] = True
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, in a session that hands at most BATCH_ROWS rows at once to Python (the setting stays, for plans are lazy)."""
+    """df, in a session that hands at most BATCH_ROWS rows, and bytes where it sets no bound itself, at once to Python (settings stay, for plans are lazy)."""
+    conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key, "10000"))
+    now = int(conf.get(key, "10000"))
     if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+        conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(key, conf.get(key, str(BATCH_BYTES)))
     return df
 
 
