@@ -18,7 +18,7 @@ def form(detections: DataFrame, config: ClusterConfig = ClusterConfig()) -> tupl
     """(labelled detections with event_id, noise with neighbour count and reason)."""
     require_columns(detections, DETECTION_COLUMNS)
     found = cluster(detections, config)
-    labelled = found.where("cluster is not null").join(numbered(found), "cluster").drop("cluster")
+    labelled = found.where("cluster is not null").join(numbered(found).hint("merge"), "cluster").drop("cluster")  # not broadcast: there are as many as events
     n = F.col("spatiotemporal_neighbor_count")
     alone = F.format_string("no neighbour within %.1f km and %.1f h", F.lit(config.eps_km), F.lit(config.eps_hours))
     few = F.format_string("%d in the neighbourhood, below the minimum of %d", n, F.lit(config.min_samples))

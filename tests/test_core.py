@@ -184,6 +184,46 @@ def test_pairs_meet_across_the_date_line_and_by_a_pole(spark):
     assert got == want and len(want) > 100
 
 
+def test_clusters_against_brute_force(spark):
+    import math
+    import random
+
+    r = random.Random(5)
+    rows = [(b + r.choice((0, 0.003, 0.03)) + r.uniform(-0.008, 0.008), (180 + r.uniform(-0.02, 0.02) * k + 180) % 360 - 180, r.choice((0, 50, 90)) + r.uniform(0, 40)) for b, k in ((0, 1), (60, 2), (-88, 20)) for _ in range(60)]
+
+    def near(p, q):
+        a, b = math.radians(p[0]), math.radians(q[0])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(h))) <= 1.5 and abs(p[2] - q[2]) <= 36
+
+    around = {i: [j for j, q in enumerate(rows) if i == j or near(p, q)] for i, p in enumerate(rows)}
+    for least in (2, 5):
+        label = {}
+        for i in around:
+            if len(around[i]) >= least and i not in label:
+                todo = [i]
+                while todo:
+                    j = todo.pop()
+                    if j not in label and len(around[j]) >= least:
+                        label[j] = i
+                        todo += around[j]
+        for i in set(around) - set(label):
+            label |= {i: min((label[j] for j in around[i] if len(around[j]) >= least), default=None)}
+        got = cluster(points(spark, rows), ClusterConfig(min_samples=least)).collect()
+        assert {x["det_id"]: (x["spatiotemporal_neighbor_count"], x["cluster"]) for x in got} == {i: (len(around[i]), label[i]) for i in around}
+        assert len(set(label.values())) > 5
+
+
+def test_neighbours_are_never_broadcast(spark, tmp_path):
+    """The size of a table after an explode is estimated as that before it, which let 27 rows of each point go to the driver."""
+    from calorine.operators.stdbscan import neighbour_pairs
+
+    points(spark, [(20, 80, i) for i in range(50)]).write.parquet(f"{tmp_path}/p")
+    pairs = neighbour_pairs(spark.read.parquet(f"{tmp_path}/p"))
+    assert pairs.count() == 2 * sum(min(36, 49 - i) for i in range(50))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_times_hashes_and_orders(spark):
     from calorine.functions.parsing import acquired_nrt, clean_text, MISSING_HASHED
     from calorine.plans import clean, serve
