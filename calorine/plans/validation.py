@@ -43,24 +43,36 @@ def independent(c: Column | str, required: bool = True) -> Column:
 
 
 def match(references: DataFrame, events: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """references with matched event_id, distance, time gap and status; grid join, then the nearest by (distance, gap, id)."""
+    """references with matched event_id, distance, time gap and status; grid join, then the nearest by (distance, gap, id).
+
+    References of one place and date find the same event, and of events of one place and time only the
+    least id can be found, so each such group meets once; how many events it stands for decides the status.
+    """
     cell = config.radius_km / 111.0 * 1.001
     to = lambda c: F.floor(F.col(c) / cell).cast("long")
     lon_width = lambda lat: F.lit(cell) / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + 3 * cell, F.lit(89.9)))), F.lit(1e-3))
-    r = references.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: to("reference_latitude") + i)))
-    r = r.withColumn("col", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("reference_longitude") / lon_width((F.col("band") + F.lit(0.5)) * cell)).cast("long") + i)))
-    e = events.select(F.col("event_id").alias("m_event"), F.col("centroid_latitude").alias("m_lat"), F.col("centroid_longitude").alias("m_lon"), F.col("event_start").alias("m_start"), F.col("event_end").alias("m_end")).withColumn("band", to("m_lat"))
+    spot = {"m_rlat": "reference_latitude", "m_rlon": "reference_longitude", "m_date": "reference_date"}
+    r = references.select(*[F.col(c).alias(k) for k, c in spot.items()]).distinct()
+    r = r.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: to("m_rlat") + i)))
+    r = r.withColumn("col", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("m_rlon") / lon_width((F.col("band") + F.lit(0.5)) * cell)).cast("long") + i)))
+    e = events.groupBy(F.col("centroid_latitude").alias("m_lat"), F.col("centroid_longitude").alias("m_lon"), F.col("event_start").alias("m_start"), F.col("event_end").alias("m_end")).agg(F.min("event_id").alias("m_event"), F.count(F.lit(1)).alias("m_n")).withColumn("band", to("m_lat"))
     e = e.withColumn("col", F.floor(F.col("m_lon") / lon_width((F.col("band") + F.lit(0.5)) * cell)).cast("long"))
-    day = F.col("reference_date")
+    day = F.col("m_date")
     start, end = F.coalesce("m_start", "m_end"), F.coalesce("m_end", "m_start")
     gap = F.when(day.isNull(), F.lit(None).cast("double")).when(day.between(start, end), 0.0).otherwise(F.least(F.abs(hours(start, day)), F.abs(hours(end, day))))
-    pairs = r.join(e, ["band", "col"]).withColumns({"d": haversine(F.col("reference_latitude"), F.col("reference_longitude"), F.col("m_lat"), F.col("m_lon")), "gap": gap})
+    pairs = r.join(e.hint("merge"), ["band", "col"]).withColumns({"d": haversine(F.col("m_rlat"), F.col("m_rlon"), F.col("m_lat"), F.col("m_lon")), "gap": gap})
     pairs = pairs.where((F.col("d") <= config.radius_km) & (day.isNull() | (F.col("gap") <= config.max_hours)))
-    w = Window.partitionBy("validation_id").orderBy("d", F.asc_nulls_last("gap"), "m_event")
-    top = pairs.withColumns({"k": F.row_number().over(w), "d2": F.lead("d").over(w)}).where("k = 1")
-    status = F.when(F.abs(F.col("d2") - F.col("d")) <= config.tolerance_km, "MULTIPLE_POSSIBLE_MATCHES").otherwise("MATCHED")
-    found = top.select("validation_id", F.col("m_event").alias("event_id"), F.col("d").alias("match_distance_km"), F.col("gap").alias("match_gap_hours"), status.alias("match_status"))
-    return references.join(found, "validation_id", "left").withColumn("match_status", F.coalesce("match_status", F.lit("NO_MATCH")))
+    # The two nearest groups decide; a filter on the row number alone lets each task drop the others before the shuffle.
+    w = Window.partitionBy(*spot).orderBy("d", F.asc_nulls_last("gap"), "m_event")
+    best = pairs.select(*spot, "d", "gap", "m_event", "m_n").withColumn("k", F.row_number().over(w)).where("k <= 2")
+    first = lambda c: F.max(F.when(F.col("k") == 1, F.col(c)))
+    top = best.groupBy(*spot).agg(first("m_event").alias("event_id"), first("d").alias("match_distance_km"), first("gap").alias("match_gap_hours"), first("m_n").alias("m_n"), F.max(F.when(F.col("k") == 2, F.col("d"))).alias("d2"))
+    several = (F.col("m_n") > 1) | (F.abs(F.col("d2") - F.col("match_distance_km")) <= config.tolerance_km)
+    top = top.select(*spot, "event_id", "match_distance_km", "match_gap_hours", F.when(several, "MULTIPLE_POSSIBLE_MATCHES").otherwise("MATCHED").alias("match_status"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"m.{k}")) for k, c in spot.items()]
+    found = references.alias("x").join(top.alias("m"), same, "left").drop(*spot)
+    ahead = [c for c in references.columns if c != "validation_id"]
+    return found.select("validation_id", *ahead, "event_id", "match_distance_km", "match_gap_hours", F.coalesce("match_status", F.lit("NO_MATCH")).alias("match_status"))
 
 
 def to_binary(candidate: Column, mode: str = "strict") -> Column:

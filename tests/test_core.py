@@ -281,3 +281,32 @@ def test_validation_of_matched_references(spark):
     strong = {r["strength"]: tuple(r)[1:] for r in validation.strength_precision(rows).collect()}
     assert strong["STRONG"] == (1, 1.0, 1) and strong["UNKNOWN"] == (1, 0.0, 1) and strong["WEAK"] == (0, None, 2)
     assert validation.report(rows.limit(0))["metric_status"] == "NOT_EVALUATED" and validation.report(rows)["metric_status"] == "EVALUATED"
+
+
+def test_matches_meet_once_for_each_place(spark, tmp_path):
+    def rows_of_joins(plan):
+        name, found = plan.getClass().getSimpleName(), []
+        if name == "AdaptiveSparkPlanExec":
+            return rows_of_joins(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return rows_of_joins(plan.plan())
+        if "Join" in name:
+            found.append(plan.metrics().get("numOutputRows").get().value())
+        children = plan.children()
+        return found + [x for i in range(children.size()) for x in rows_of_joins(children.apply(i))]
+
+    at = lambda i: BASE + timedelta(hours=i)
+    refs = spark.createDataFrame([(f"r{i:03}", 20.0 + i % 2, 80.0, None if i % 4 < 2 else at(i % 3)) for i in range(200)] + [("far", -20.0, 80.0, None), ("nowhere", None, None, None)], "validation_id string, reference_latitude double, reference_longitude double, reference_date timestamp")
+    evts = spark.createDataFrame([(f"e{i:03}", 20.01, 80.0, at(0), at(1)) for i in range(200)] + [("f1", 21.02, 80.0, at(0), at(1)), ("f0", 21.03, 80.0, at(90), at(91))], "event_id string, centroid_latitude double, centroid_longitude double, event_start timestamp, event_end timestamp")
+    for name, df in (("r", refs), ("e", evts)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    out = validation.match(spark.read.parquet(f"{tmp_path}/r"), spark.read.parquet(f"{tmp_path}/e"))
+    got = {r["validation_id"]: r for r in out.collect()}
+    assert len(got) == 202 and got["far"]["match_status"] == got["nowhere"]["match_status"] == "NO_MATCH"
+    for i in range(200):
+        r = got[f"r{i:03}"]
+        assert (r["event_id"], r["match_status"]) == (("f1", "MATCHED") if i % 2 else ("e000", "MULTIPLE_POSSIBLE_MATCHES"))
+        assert r["match_gap_hours"] == (None if i % 4 < 2 else max(0, i % 3 - 1))
+    counted = validation.match(spark.read.parquet(f"{tmp_path}/r"), spark.read.parquet(f"{tmp_path}/e"))
+    counted._jdf.collectToPython()
+    assert max(rows_of_joins(counted._jdf.queryExecution().executedPlan())) <= 202
