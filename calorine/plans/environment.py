@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from calorine.functions.geo import distance, inside, raster_cell
@@ -64,19 +65,22 @@ def unavailable(events: DataFrame, prefix: str) -> DataFrame:
 def union_share(cx: float, cy: float, radius: float, shapes: list[np.ndarray], slabs: int) -> float:
     """Share of a disc that a union of edge lists covers: exact chords along `slabs` lines, so overlaps count once."""
     ys = cy - radius + (np.arange(slabs) + 0.5) * 2 * radius / slabs
-    total = 0.0
-    for y in ys:
-        half = np.sqrt(max(radius * radius - (y - cy) ** 2, 0.0))
-        runs = []
-        for e in shapes:
-            cross = (e[:, 1] > y) != (e[:, 3] > y)
-            c = e[cross]
-            xs = np.sort(c[:, 0] + (y - c[:, 1]) * (c[:, 2] - c[:, 0]) / (c[:, 3] - c[:, 1]))
-            runs += [(max(a, cx - half), min(b, cx + half)) for a, b in zip(xs[::2], xs[1::2], strict=False)]
-        at = -np.inf
-        for a, b in sorted(r for r in runs if r[0] < r[1]):
-            total += max(0.0, b - max(a, at))
-            at = max(at, b)
+    half = np.sqrt(np.maximum(radius * radius - (ys - cy) ** 2, 0.0))
+    runs = []
+    for e in shapes:
+        line, at = np.nonzero(((e[:, 1, None] > ys) != (e[:, 3, None] > ys)).T)
+        c = e[at]
+        xs = c[:, 0] + (ys[line] - c[:, 1]) * (c[:, 2] - c[:, 0]) / (c[:, 3] - c[:, 1])
+        order = np.lexsort((xs, line))
+        xs, line = xs[order], line[order]
+        turn = np.arange(len(line)) - np.searchsorted(line, line)
+        a = np.flatnonzero((turn[:-1] % 2 == 0) & (line[1:] == line[:-1]))
+        runs += zip(line[a].tolist(), np.maximum(xs[a], cx - half[line[a]]).tolist(), np.minimum(xs[a + 1], cx + half[line[a]]).tolist(), strict=True)
+    total, last, end = 0.0, -1, -np.inf
+    for k, a, b in sorted(r for r in runs if r[1] < r[2]):
+        end = end if k == last else -np.inf
+        total += max(0.0, b - max(a, end))
+        last, end = k, max(end, b)
     return float(min(1.0, total * (2 * radius / slabs) / (np.pi * radius * radius)))
 
 
@@ -98,12 +102,15 @@ def vector_presence(events: DataFrame, layer: DataFrame | None, prefix: str, con
     near = pairs.groupBy("event_id").agg(F.max(F.col("gap") <= local).alias("present"), F.min(F.when(F.col("d") <= broad, F.col("d") / 1000)).alias("km"))
     touching = pairs.where((F.col("gap") <= local) & F.col("p_areal")).select("event_id", "cx", "cy", F.transform("p_edges", lambda s: F.array(s["ax"], s["ay"], s["bx"], s["by"])).alias("es"))
 
-    def share(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shapes = [np.array([list(r) for r in es]) for es in pdf["es"]]
-        return pd.DataFrame({"event_id": [key[0]], "share": [union_share(pdf["cx"].iloc[0], pdf["cy"].iloc[0], local, shapes, config.slabs)]})
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True)
+            shares = [union_share(cx, cy, local, [np.array(es) for es in shapes], config.slabs) for cx, cy, shapes in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["event_id", "share"])
 
     kind = events.schema["event_id"].dataType.simpleString()
-    covered = touching.groupBy("event_id").applyInPandas(share, f"event_id {kind}, share double")
+    gathered = touching.groupBy("event_id").agg(F.first("cx"), F.first("cy"), F.collect_list("es"))
+    covered = gathered.mapInArrow(share, f"event_id {kind}, share double")
     out = events.join(near, "event_id", "left").join(covered, "event_id", "left")
     return out.withColumns({f"{prefix}_available": F.lit(True), f"{prefix}_present": F.coalesce("present", F.lit(False)), f"{prefix}_coverage_fraction": F.coalesce("share", F.lit(0.0)), f"{prefix}_distance_km": F.col("km")}).drop("present", "km", "share")
 

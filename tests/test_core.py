@@ -325,3 +325,19 @@ def test_fold_keeps_no_pairs_of_a_dense_site(spark, monkeypatch):
     assert sum(links) < 300
     assert sorted((r["event_id"], r["detection_count"], r["peak_frp"]) for r in states.collect()) == [("EVT_0000001", 300, 1.0), ("EVT_0000002", 2, None)]
     assert len(actions.collect()) == 303 and {r["action"] for r in actions.where("observation_hash = 'lost'").collect()} == {"skipped_invalid"}
+
+
+def test_coverage_is_one_scan_of_events(spark):
+    """Shares of discs under unions of boxes, without a pandas group for each event."""
+    from calorine.functions.geo import box_rings
+    from calorine.plans import environment
+
+    d = lambda i: F.col("id") * 0.0 + i
+    layer = spark.range(1).select(F.lit("Polygon").alias("geometry_type"), box_rings(d(79.9), d(19.9), d(80.0), d(20.1)).alias("rings"))
+    layer = layer.union(layer)  # overlaps count once
+    rows = [("half", 20.0, 80.0), ("all", 20.0, 79.95), ("none", 20.0, 80.5)]
+    events = spark.createDataFrame([(*r, None, None) for r in rows], "event_id string, centroid_latitude double, centroid_longitude double, centroid_wkt string, footprint_wkt string")
+    out = environment.vector_presence(events, layer, "water")
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["event_id"]: r["water_coverage_fraction"] for r in out.collect()}
+    assert abs(got["half"] - 0.5) < 0.02 and abs(got["all"] - 1) < 0.02 and got["none"] == 0
