@@ -43,11 +43,12 @@ def met(left: DataFrame, right: DataFrame, reach_m: float, cell_m: float) -> Dat
 
     Both sides are dealt to the grid cells they cover and joined on the cell; a pair
     is kept in the cell of its boxes' common lower corner only, so no distinct is needed.
+    Spark takes the rings of right for a few bytes, so this is a merge, never a broadcast.
     """
     grow = F.lit(reach_m)
     a = left.withColumn("cell", F.explode(cells(F.col("l_w") - grow, F.col("l_s") - grow, F.col("l_e") + grow, F.col("l_n") + grow, cell_m)))
     b = right.withColumn("cell", F.explode(cells(F.col("r_w"), F.col("r_s"), F.col("r_e"), F.col("r_n"), cell_m)))
-    both = a.join(b, "cell")
+    both = a.join(b.hint("merge"), "cell")
     overlap = (F.col("r_w") <= F.col("l_e") + grow) & (F.col("r_e") >= F.col("l_w") - grow) & (F.col("r_s") <= F.col("l_n") + grow) & (F.col("r_n") >= F.col("l_s") - grow)
     first = (F.col("cell.cx") == F.floor(F.greatest(F.col("l_w") - grow, "r_w") / cell_m)) & (F.col("cell.cy") == F.floor(F.greatest(F.col("l_s") - grow, "r_s") / cell_m))
     return both.where(overlap & first).drop("cell")

@@ -327,6 +327,15 @@ def test_fold_keeps_no_pairs_of_a_dense_site(spark, monkeypatch):
     assert len(actions.collect()) == 303 and {r["action"] for r in actions.where("observation_hash = 'lost'").collect()} == {"skipped_invalid"}
 
 
+def test_boxes_meet_without_a_broadcast(spark):
+    box = lambda s, rows: spark.createDataFrame(rows, f"{s} string, {s}_w double, {s}_s double, {s}_e double, {s}_n double")
+    left = box("l", [("a", 0.0, 0.0, 10.0, 10.0), ("b", 5000.0, 5000.0, 25000.0, 25000.0), ("c", -90000.0, 0.0, -90000.0, 0.0)])
+    right = box("r", [("x", 12.0, 0.0, 13.0, 1.0), ("y", 9000.0, 9000.0, 21000.0, 21000.0), ("z", 99.0, 0.0, 99.0, 0.0)])
+    pairs = association.met(left, right, 5.0, 10_000.0)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["l"], r["r"]) for r in pairs.collect()) == [("a", "x"), ("b", "y")]
+
+
 def test_coverage_is_one_scan_of_events(spark):
     """Shares of discs under unions of boxes, without a pandas group for each event."""
     from calorine.functions.geo import box_rings
