@@ -410,6 +410,26 @@ def test_exact_passages_against_brute_force(spark):
     assert not want - {r["doc_id"] for r in passages.find(docs(spark, texts), hot_least=5).collect()}
 
 
+@pytest.mark.parametrize("hot_least", [2, 10**9])
+def test_each_word_of_an_exact_passage_is_found(spark, hot_least):
+    """Whatever the document that holds it, the place of its keys among repeats of them, or its period."""
+    r = random.Random(12)
+    lines = [prose(n, 500 + n) for n in (38, 40, 45)] + ["la", "tick tock", "one two three"]
+    many = lambda: " ".join(" ".join([r.choice(lines[:3])] * r.randint(1, 6) if r.random() < 0.6 else [r.choice(lines[3:])] * r.randint(10, 60)) for _ in range(r.randint(1, 4)))
+    texts = [prose(r.randint(0, 9), 600 + i) + " " + many() + " " + prose(r.randint(0, 40), 700 + i) for i in range(40)]
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        runs = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        want |= {(i, j + k) for j, x in enumerate(runs) if x in seen for k in range(50)}
+        seen |= set(runs)
+    rows = passages.find(docs(spark, texts), hot_least=hot_least).collect()
+    assert len(want) > 1000 and not want - {(x["doc_id"], k) for x in rows for k in range(x["start_word"], x["end_word"])}
+    for x in rows:
+        if x["identity"] == 1:
+            assert x["first_doc_id"] < x["doc_id"] and texts[x["doc_id"]].split()[x["start_word"] : x["end_word"]] == texts[x["first_doc_id"]].split()[x["first_start"] : x["first_end"]]
+
+
 def test_surrogates_against_plain_checks(spark):
     """Distinctness, coreference and form of all replaced mentions, held against the mentions found before."""
     r = random.Random(21)
