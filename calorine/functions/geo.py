@@ -80,6 +80,11 @@ def parse_wkt(wkt: Column) -> Column:
     return F.when(wkt_type(wkt).isin("POINT", "MULTIPOINT", "LINESTRING", "POLYGON", "MULTIPOLYGON") & sound, parsed)
 
 
+def areal_type(kind: Column) -> Column:
+    """Whether a geometry type is that of polygons. Not by upper(): Spark tries all code points (3.5 GB of garbage) where that is first met, which for a constant is the driver."""
+    return kind.rlike(r"(?i)\A(multi)?polygon\z")
+
+
 def point_wkt(lon: Column, lat: Column) -> Column:
     return F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")"))
 

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from calorine.functions.geo import cells, distance, edges, inside, intersects, parse_wkt, projected, wkt_type
+from calorine.functions.geo import areal_type, cells, distance, edges, inside, intersects, parse_wkt, projected, wkt_type
+from calorine.functions.session import saved
 
 METHODS = ("WITHIN_FACILITY", "INTERSECTS_FACILITY", "NEAR_FACILITY")
 
@@ -22,7 +23,7 @@ class AssociationConfig:
 def planar(df: DataFrame, rings: str, kind: Column, prefix: str) -> DataFrame:
     """df with projected edges, an areal flag and the bounding box of a ring column."""
     p = projected(F.col(rings))
-    df = df.withColumn(f"{prefix}_edges", edges(p)).withColumn(f"{prefix}_areal", F.upper(kind).isin("POLYGON", "MULTIPOLYGON"))
+    df = df.withColumn(f"{prefix}_edges", edges(p)).withColumn(f"{prefix}_areal", areal_type(kind))
     xs = lambda k: F.flatten(F.transform(f"{prefix}_edges", lambda e: F.array(e[f"a{k}"], e[f"b{k}"])))
     return df.withColumns({f"{prefix}_w": F.array_min(xs("x")), f"{prefix}_e": F.array_max(xs("x")), f"{prefix}_s": F.array_min(xs("y")), f"{prefix}_n": F.array_max(xs("y"))})
 
@@ -59,11 +60,12 @@ def candidates(events: DataFrame, facilities: DataFrame, config: AssociationConf
 
     facilities: facility_id, facility_name, facility_type, geometry_type, rings. A facility is a
     candidate when the centroid lies within it, the footprint meets it, or the
-    centroid is within the radius of it.
+    centroid is within the radius of it. Both sides are written to the shared folder: filters on boxes
+    and cells would repeat their whole geometry in the plan otherwise, which the driver has to hold.
     """
     e = event_geometry(events).select("event_id", "foot_edges", "foot_areal", "cx", "cy", F.least("foot_w", "cx").alias("l_w"), F.least("foot_s", "cy").alias("l_s"), F.greatest("foot_e", "cx").alias("l_e"), F.greatest("foot_n", "cy").alias("l_n"))
     f = planar(facilities, "rings", F.col("geometry_type"), "fac").select("facility_id", "facility_name", "facility_type", "geometry_type", "fac_edges", "fac_areal", F.col("fac_w").alias("r_w"), F.col("fac_s").alias("r_s"), F.col("fac_e").alias("r_e"), F.col("fac_n").alias("r_n"))
-    pairs = met(e, f, config.radius_km * 1000, config.cell_m)
+    pairs = met(saved(e, "association-events"), saved(f, "association-facilities"), config.radius_km * 1000, config.cell_m)
     d = distance(F.col("cx"), F.col("cy"), F.col("fac_edges"), F.col("fac_areal"))
     edge = F.array_min(F.transform("fac_edges", lambda s: F.sqrt(F.pow(s["ax"] - F.col("cx"), F.lit(2)) + F.pow(s["ay"] - F.col("cy"), F.lit(2)))))
     within = F.when(F.col("fac_areal"), inside(F.col("cx"), F.col("cy"), F.col("fac_edges"), F.col("fac_areal"))).otherwise(edge == 0)
@@ -79,7 +81,7 @@ def tier(relation: Column) -> Column:
 
 def ranked(pairs: DataFrame) -> DataFrame:
     t = tier(F.col("spatial_relation"))
-    point = F.when(F.upper("geometry_type").isin("POLYGON", "MULTIPOLYGON"), 0).otherwise(1)
+    point = F.when(areal_type(F.col("geometry_type")), 0).otherwise(1)
     w = Window.partitionBy("event_id").orderBy(t, "distance_km", point, "facility_type", "facility_id")
     return pairs.withColumns({"candidate_rank": F.row_number().over(w), "candidate_score": (2 - t) * 10_000.0 - F.col("distance_km")})
 
