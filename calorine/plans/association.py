@@ -103,9 +103,9 @@ def select(pairs: DataFrame, config: AssociationConfig = AssociationConfig()) ->
 
 
 def associate(events: DataFrame, facilities: DataFrame, config: AssociationConfig = AssociationConfig()) -> tuple[DataFrame, DataFrame]:
-    """(events with eight facility columns, candidates up to the cap); every event is kept."""
+    """(events with eight facility columns, candidates up to the cap); every event is kept. Lists of candidates can be long, so they are not broadcast."""
     pairs = candidates(events, facilities, config)
-    out = events.join(select(pairs, config), "event_id", "left").withColumns({"facility_association_method": F.coalesce("facility_association_method", F.lit("NO_FACILITY_ASSOCIATION")), "facility_attribution_confidence": F.coalesce("facility_attribution_confidence", F.lit("NONE")), "facility_candidate_count": F.coalesce("facility_candidate_count", F.lit(0))})
+    out = events.join(select(pairs, config).hint("merge"), "event_id", "left").withColumns({"facility_association_method": F.coalesce("facility_association_method", F.lit("NO_FACILITY_ASSOCIATION")), "facility_attribution_confidence": F.coalesce("facility_attribution_confidence", F.lit("NONE")), "facility_candidate_count": F.coalesce("facility_candidate_count", F.lit(0))})
     return out, pairs.where(F.col("candidate_rank") <= config.max_candidates)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from calorine.adapters import tables as a
 from calorine.functions.geo import box_rings, haversine
 from calorine.functions.parsing import observation_hash
+from calorine.functions.session import saved
 from calorine.plans import anomaly, association, clean, environment, events, facilities, fingerprint, fusion, risk, serve, sta, validation
 from calorine.streaming import nrt
 
@@ -66,7 +67,7 @@ q as (select event_id, span_days, duty_cycle, case when detection_count < 3 then
 # ---------------------------------------------------------------- association
 def association_selection(s: SparkSession, d: str) -> DataFrame:
     formed = event_features(s, d).select("event_id", "centroid_latitude", "centroid_longitude", F.lit(None).cast("string").alias("centroid_wkt"), F.lit(None).cast("string").alias("footprint_wkt"))
-    out, _ = association.associate(formed, a.facilities(s, d))
+    out, _ = association.associate(saved(formed, "event-places"), a.facilities(s, d))
     return out.drop("centroid_wkt", "footprint_wkt")
 
 

@@ -366,3 +366,12 @@ def test_association_plans_stay_small(spark):
     assert sorted((r["event_id"], r["facility_id"], r["candidate_rank"]) for r in pairs.collect()) == [("e0", f"f{i}", i + 1) for i in range(3)]
     kinds = spark.createDataFrame([("Polygon",), ("MULTIPOLYGON",), ("Point",), ("polygons",), ("polygon\n",), (None,)], "k string")
     assert [r[0] for r in kinds.select(areal_type(F.col("k"))).collect()] == [True, True, False, False, False, None]
+
+
+def test_long_lists_of_candidates_are_not_broadcast(spark):
+    ev = spark.createDataFrame([("A", 20.0, 80.0, None, None)], "event_id string, centroid_latitude double, centroid_longitude double, centroid_wkt string, footprint_wkt string")
+    fac = spark.createDataFrame([("f", "one", "MINE", "Point", "POINT (80.0 20.001)")], "facility_id string, facility_name string, facility_type string, geometry_type string, w string").withColumn("rings", parse_wkt(F.col("w"))).drop("w")
+    out, _ = association.associate(ev, fac)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "LeftOuter" in x and "rightHint=(strategy=merge)" in x]  # small ones would be broadcast, and so would long ones by their compressed size
+    assert [(r["facility_id"], r["candidate_facility_ids"]) for r in out.collect()] == [("f", "f")]
