@@ -62,7 +62,10 @@ _SPLIT[0x41:0x5B] = _SPLIT[0x61:0x7B] = 1
 _SPLIT[0x80:0xC0] = _SPLIT[[0xC3, 0xC4, 0xC5]] = 1  # with what may follow them, Latin letters; see _odd
 _SPLIT[0x27] = 9
 #: Slots of each half of the cache (24 bytes each), ids it holds, and bytes of the pre-tokens that it is keyed by.
-CACHE_BITS, POOL_IDS, KEY_BYTES = 18, 1 << 21, 16
+#: Corpora of many rare words meet most of them again, but far apart, so the cache is as large as a worker may afford.
+CACHE_BITS, POOL_IDS, KEY_BYTES = 19, 1 << 23, 16
+#: Pre-tokens that go through the library as one text.
+JOINED = 500
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -156,6 +159,8 @@ class Encoder:
         self.special = [x["content"].encode() for x in spec.get("added_tokens") or []]
         self.fast = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.fast and len(line) == 1 and not any(b"\n" in s for s in self.special) else None
         self.forget()
 
     def forget(self) -> None:
@@ -172,6 +177,29 @@ class Encoder:
             out += [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
         return out
 
+    def apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pre-tokens, and how many each has.
+
+        All but white space go through the library many at once, each closed by a line feed: between
+        them that is a pre-token of its own, and no other holds it.
+        """
+        size = np.zeros(len(words), np.int64)
+        plain = np.array([self.line is not None and not w.isspace() for w in words], bool)
+        which, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        lines = [b"\n".join([*(words[i] for i in which[a : a + JOINED].tolist()), b""]).decode() for a in range(0, len(which), JOINED)]
+        ids = np.concatenate([*self.whole(lines, 16), np.zeros(0, self.kind)])
+        ends = np.flatnonzero(ids == self.line) if len(which) else which
+        size[which] = np.diff(ends, prepend=-1) - 1
+        rest = self.whole([words[i].decode() for i in others.tolist()])
+        size[others] = [len(x) for x in rest]
+        if not len(others):
+            return ids[ids != self.line], size
+        flat = np.zeros(int(size.sum()), self.kind)
+        of = np.repeat(plain, size)
+        flat[of] = ids[ids != self.line]
+        flat[~of] = np.concatenate(rest)
+        return flat, size
+
     def _slots(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = mix(low + mix(high + np.uint64(1)))
         return (h >> np.uint64(64 - CACHE_BITS)).astype(np.int64), (h & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64)
@@ -185,11 +213,9 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Puts the ids of pre-tokens into the pool: (place, size)."""
-        ids = self.whole([w.decode() for w in words])
-        size = np.array([len(x) for x in ids], np.int64)
+        flat, size = self.apart(words)
         place = self.used + np.cumsum(size) - size
-        if ids:
-            flat = np.concatenate(ids)
+        if len(flat):
             self.pool[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
         return place, size

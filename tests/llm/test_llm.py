@@ -181,6 +181,22 @@ def test_split_agrees_with_the_library():
     assert got == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_rare_words_are_encoded_together():
+    """Ids as the library gives them, but few texts go through it; words met again are still known."""
+    encode, rng = tokens.Encoder(tokens.default_tokenizer()), random.Random(3)
+    words = ["".join(rng.choices("abcdefghijkl\u00e9\u00dfXYZ", k=rng.randint(1, 22))) for _ in range(60_000)] + ["12345", "!?!", "</", "s>", "\n", "\n \n", "\t", "  "]
+    texts = [rng.choice(" \n\t").join(words[i : i + 100]) + rng.choice(["", " ", "\n\n"]) for i in range(0, len(words), 100)]
+    seen, whole = [], encode.whole
+    encode.whole = lambda texts, *more: seen.append(len(texts)) or whole(texts, *more)
+    for _ in range(2):
+        got = [x.tolist() for found in encode(pa.array(texts)) for x in found]
+        assert got == [e.ids for e in encode.library.encode_batch(texts, add_special_tokens=False)]
+        assert sum(seen) < 2_000
+    encode.line = None  # a vocabulary in which a line feed is not one token
+    encode.forget()
+    assert got == [x.tolist() for found in encode(pa.array(texts)) for x in found]
+
+
 def test_vectors_against_brute_force(spark):
     g = np.random.default_rng(3)
     base = g.normal(size=(40, 24))
