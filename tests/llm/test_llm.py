@@ -497,3 +497,29 @@ def test_quality_against_a_plain_version(spark):
         assert abs(got[i]["p_quality"] - want) < 1e-9 and got[i]["keep"] == (want >= 0.5)
     urls = spark.createDataFrame([("https://A.example.org/news/x?y=1",), ("no url",), (None,), ("http://b.org",)], "u string")
     assert [tuple(r) for r in urls.select(quality.url_host(F.col("u")), quality.url_path(F.col("u"))).collect()] == [("a.example.org", "news"), (None, ""), (None, ""), ("b.org", "")]
+
+
+def test_shuffles_go_when_nothing_reads_them(spark):
+    """Also those of the last query; and words are read as written, not shuffled by each reader."""
+    import pathlib
+    import time
+
+    from calorine.functions.session import discard, let_go, saved
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {x for d in env.blockManager().diskBlockManager().localDirsString() for x in pathlib.Path(d).rglob("shuffle_*.data")}
+    before = files()
+    out = saved(spark.range(1000).repartition(3, "id"), "shuffled")
+    made = files() - before
+    assert made
+    let_go(spark)
+    for _ in range(50):  # files go a little after
+        if not made & files():
+            break
+        time.sleep(0.1)
+    assert not made & files()
+    discard(out)
+    docs = spark.createDataFrame([(1, "a b c"), (1, "d e"), (2, "a"), (3, "x")], "doc_id long, text string")
+    words = passages._word_arrays(docs, docs.where("doc_id < 3").select("doc_id").distinct())
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], len(r["words"]) in (4, 8, 12)) for r in words.collect()) == [(1, True), (2, True)]
