@@ -354,7 +354,7 @@ def test_coverage_is_one_scan_of_events(spark):
 
 def test_association_plans_stay_small(spark):
     """Filters on boxes don't repeat whole geometries, and no constant is upper-cased by the driver."""
-    from calorine.functions.geo import areal_type, point_rings
+    from calorine.functions.geo import point_rings
 
     fac = spark.range(3).select(F.concat(F.lit("f"), "id").alias("facility_id"), F.lit("n").alias("facility_name"), F.lit("MINE").alias("facility_type"), F.lit("Point").alias("geometry_type"), point_rings(F.col("id") * 0.01 + 80.0, F.lit(20.0)).alias("rings"))
     none = F.lit(None).cast("string")
@@ -364,6 +364,8 @@ def test_association_plans_stay_small(spark):
     assert max(len(x) for x in plan.optimizedPlan().toString().splitlines() if "Filter" in x) < 2_000
     assert "upper(" not in plan.analyzed().toString()
     assert sorted((r["event_id"], r["facility_id"], r["candidate_rank"]) for r in pairs.collect()) == [("e0", f"f{i}", i + 1) for i in range(3)]
+    from calorine.functions.geo import areal_type
+
     kinds = spark.createDataFrame([("Polygon",), ("MULTIPOLYGON",), ("Point",), ("polygons",), ("polygon\n",), (None,)], "k string")
     assert [r[0] for r in kinds.select(areal_type(F.col("k"))).collect()] == [True, True, False, False, False, None]
 
