@@ -27,12 +27,19 @@ def form(detections: DataFrame, config: ClusterConfig = ClusterConfig()) -> tupl
 
 
 def features(labelled: DataFrame) -> DataFrame:
-    """One row per event_id: place, time, power, brightness and class counts. Power statistics use valid rows only."""
+    """One row per event_id: place, time, power, brightness and class counts. Power statistics use valid rows only.
+
+    Sums run over an event's rows in their order of time, in one go: a count of distinct days or a median among the
+    aggregates would part them, and the last bits of means would depend on how.
+    """
     w = Window.partitionBy("event_id").orderBy("acq_datetime", "det_id")
     gap = hours(F.lag("acq_datetime").over(w), F.col("acq_datetime"))
     power = F.when(F.col("frp_valid"), F.col("frp"))
-    rows = labelled.withColumns({"gap": gap, "p": power})
-    rows = rows.withColumn("p_median", F.median("p").over(Window.partitionBy("event_id")))
+    day = F.to_date("acq_datetime")
+    rows = labelled.withColumns({"gap": gap, "p": power, "new_day": day.isNotNull() & ~day.eqNullSafe(F.lag(day).over(w))})
+    of_event = Window.partitionBy("event_id")
+    rows = rows.withColumn("p_median", F.median("p").over(of_event))
+    rows = rows.withColumn("p_mad", F.median(F.abs(F.col("p") - F.col("p_median"))).over(of_event))
     conf = F.lower("confidence")
     t0, t1 = F.min("acq_datetime"), F.max("acq_datetime")
     dur = hours(t0, t1)
@@ -47,7 +54,7 @@ def features(labelled: DataFrame) -> DataFrame:
         t0.alias("event_start"),
         t1.alias("event_end"),
         dur.alias("observed_duration_hours"),
-        F.count_distinct(F.to_date("acq_datetime")).cast("int").alias("distinct_detection_days"),
+        F.count_if("new_day").cast("int").alias("distinct_detection_days"),
         F.avg("gap").alias("mean_gap_hours"),
         F.max("gap").alias("max_gap_hours"),
         F.when(dur > 0, F.count(F.lit(1)) / (dur / 24)).alias("detection_frequency_per_day"),
@@ -55,7 +62,7 @@ def features(labelled: DataFrame) -> DataFrame:
         F.avg("p").alias("mean_frp"),
         F.first("p_median").alias("median_frp"),
         F.stddev_pop("p").alias("frp_std"),
-        F.median(F.abs(F.col("p") - F.col("p_median"))).alias("frp_mad"),
+        F.first("p_mad").alias("frp_mad"),
         F.sum("p").alias("total_frp"),
         F.count("p").cast("int").alias("frp_valid_count"),
         F.max("bright_ti4").alias("max_bright_ti4"),

@@ -390,3 +390,22 @@ def test_whole_turns_of_longitude_are_apart(spark):
     assert {r["action"] for r in actions.collect()} == {"created", "matched"}
     raw = spark.createDataFrame([("a", "20", "430"), ("b", "95.5", "80"), ("c", "20", "80")], "observation_hash string, latitude string, longitude string").withColumns({"acq_date": F.lit("2024-01-01"), "acq_time": F.lit("0100"), "frp": F.lit("1"), "daynight": F.lit("D")})
     assert {r["observation_hash"]: r["latitude"] for r in nrt.observations_of(raw).collect()} == {"a": None, "b": None, "c": 20.0}
+
+
+def test_sums_of_features_run_in_order_of_time(spark):
+    """To the last bit, as one sum over an event's rows (before: by days, in any order)."""
+    import random
+
+    r = random.Random(7)
+    rows = [(e * 100 + i, 20.0, 80.0 + r.random() / 1000, BASE + timedelta(hours=17 * i), r.random() * 300, True, 300 + r.random(), 290.0, "n", "D", f"e{e:03}") for e in range(200) for i in range(12)]
+    shuffled = r.sample(rows, len(rows))
+    got = events.features(spark.createDataFrame(shuffled, "det_id long, latitude double, longitude double, acq_datetime timestamp, frp double, frp_valid boolean, bright_ti4 double, bright_ti5 double, confidence string, daynight string, event_id string")).collect()
+    assert len(got) == 200
+    for x in got:
+        own = [y for y in rows if y[10] == x["event_id"]]
+        for name, k in (("total_frp", 4), ("mean_bright_ti4", 6), ("centroid_longitude", 2)):
+            total = 0.0
+            for y in own:
+                total += y[k]
+            assert x[name] == (total if name == "total_frp" else total / 12)
+        assert x["distinct_detection_days"] == len({y[3].date() for y in own})
