@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calorine.functions.geo import areal_type, cells, distance, edges, inside, intersects, parse_wkt, projected, wkt_type
-from calorine.functions.session import saved
+from calorine.functions.session import let_go, saved
 
 METHODS = ("WITHIN_FACILITY", "INTERSECTS_FACILITY", "NEAR_FACILITY")
 
@@ -44,14 +44,15 @@ def met(left: DataFrame, right: DataFrame, reach_m: float, cell_m: float) -> Dat
 
     Both sides are dealt to the grid cells they cover and joined on the cell; a pair
     is kept in the cell of its boxes' common lower corner only, so no distinct is needed.
+    Boxes of right are grown by the reach, as it mostly has the fewer and lighter rows, and left goes to its own cells only.
     Spark takes the rings of right for a few bytes, so this is a merge, never a broadcast.
     """
     grow = F.lit(reach_m)
-    a = left.withColumn("cell", F.explode(cells(F.col("l_w") - grow, F.col("l_s") - grow, F.col("l_e") + grow, F.col("l_n") + grow, cell_m)))
-    b = right.withColumn("cell", F.explode(cells(F.col("r_w"), F.col("r_s"), F.col("r_e"), F.col("r_n"), cell_m)))
+    a = left.withColumn("cell", F.explode(cells(F.col("l_w"), F.col("l_s"), F.col("l_e"), F.col("l_n"), cell_m)))
+    b = right.withColumn("cell", F.explode(cells(F.col("r_w") - grow, F.col("r_s") - grow, F.col("r_e") + grow, F.col("r_n") + grow, cell_m)))
     both = a.join(b.hint("merge"), "cell")
     overlap = (F.col("r_w") <= F.col("l_e") + grow) & (F.col("r_e") >= F.col("l_w") - grow) & (F.col("r_s") <= F.col("l_n") + grow) & (F.col("r_n") >= F.col("l_s") - grow)
-    first = (F.col("cell.cx") == F.floor(F.greatest(F.col("l_w") - grow, "r_w") / cell_m)) & (F.col("cell.cy") == F.floor(F.greatest(F.col("l_s") - grow, "r_s") / cell_m))
+    first = (F.col("cell.cx") == F.floor(F.greatest(F.col("r_w") - grow, "l_w") / cell_m)) & (F.col("cell.cy") == F.floor(F.greatest(F.col("r_s") - grow, "l_s") / cell_m))
     return both.where(overlap & first).drop("cell")
 
 
@@ -65,7 +66,9 @@ def candidates(events: DataFrame, facilities: DataFrame, config: AssociationConf
     """
     e = event_geometry(events).select("event_id", "foot_edges", "foot_areal", "cx", "cy", F.least("foot_w", "cx").alias("l_w"), F.least("foot_s", "cy").alias("l_s"), F.greatest("foot_e", "cx").alias("l_e"), F.greatest("foot_n", "cy").alias("l_n"))
     f = planar(facilities, "rings", F.col("geometry_type"), "fac").select("facility_id", "facility_name", "facility_type", "geometry_type", "fac_edges", "fac_areal", F.col("fac_w").alias("r_w"), F.col("fac_s").alias("r_s"), F.col("fac_e").alias("r_e"), F.col("fac_n").alias("r_n"))
-    pairs = met(saved(e, "association-events"), saved(f, "association-facilities"), config.radius_km * 1000, config.cell_m)
+    e, f = saved(e, "association-events"), saved(f, "association-facilities")
+    let_go(events.sparkSession)
+    pairs = met(e, f, config.radius_km * 1000, config.cell_m)
     d = distance(F.col("cx"), F.col("cy"), F.col("fac_edges"), F.col("fac_areal"))
     edge = F.array_min(F.transform("fac_edges", lambda s: F.sqrt(F.pow(s["ax"] - F.col("cx"), F.lit(2)) + F.pow(s["ay"] - F.col("cy"), F.lit(2)))))
     within = F.when(F.col("fac_areal"), inside(F.col("cx"), F.col("cy"), F.col("fac_edges"), F.col("fac_areal"))).otherwise(edge == 0)

@@ -72,9 +72,7 @@ def association_selection(s: SparkSession, d: str) -> DataFrame:
 
 
 def association_candidates(s: SparkSession, d: str) -> DataFrame:
-    labelled, _ = _formed(s, d)
-    shaped = events.features(labelled).select("event_id", "centroid_latitude", "centroid_longitude").join(events.footprints(labelled), "event_id")
-    return association.associate(shaped, a.facilities(s, d))[1]
+    return association.associate(events.shapes(_formed(s, d)[0]), a.facilities(s, d))[1]
 
 
 def association_histogram(s: SparkSession, d: str) -> DataFrame:

@@ -409,3 +409,21 @@ def test_sums_of_features_run_in_order_of_time(spark):
                 total += y[k]
             assert x[name] == (total if name == "total_frp" else total / 12)
         assert x["distinct_detection_days"] == len({y[3].date() for y in own})
+
+
+def test_shapes_are_one_aggregation_without_pandas_groups(spark):
+    rows = [("a", 20.0, 80.0), ("a", 20.0, 80.0), ("b", 20.0, 80.0), ("b", 20.1, 80.0), ("c", 20.0, 80.0), ("c", 20.0, 80.2), ("c", 20.2, 80.0), ("c", 20.05, 80.05)]
+    df = spark.createDataFrame(rows, "event_id string, latitude double, longitude double")
+    made = events.footprints(df)
+    assert {r["event_id"]: r["footprint_wkt"] for r in made.collect()} == {"a": "POINT (80.0 20.0)", "b": "LINESTRING (80.0 20.0, 80.0 20.1)", "c": "POLYGON ((80.0 20.0, 80.2 20.0, 80.0 20.2, 80.0 20.0))"}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Join" not in plan
+
+
+def test_heavy_side_of_boxes_is_not_multiplied(spark):
+    """Rows of left go to the cells that they cover, not to all in reach (before: four rows for a place by a corner)."""
+    box = lambda s, n: spark.range(n).select(F.col("id").alias(s), *[(F.col("id") * 0.0 + 100.0).alias(f"{s}_{c}") for c in "wsen"])
+    plan = association.met(box("l", 50), box("r", 2), 5000.0, 10_000.0)
+    assert plan.count() == 100
+    left = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_w" in left and not [x for x in left.splitlines() if "explode" in x and "l_w" in x and "5000.0" in x]
